@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import linededup, mixing, packing, quality, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_quality_rules": quality.op5_quality_rules}
+    return {
+        "op1_line_dedup": linededup.op1_line_dedup,
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op7_mixing": mixing.op7_mixing,
+        "op8_packing": packing.op8_packing,
+        "op10_url_filter": urlfilter.op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.op5_sql()}
+    return {
+        "op1_line_dedup": linededup.op1_sql(),
+        "op5_quality_rules": quality.op5_sql(),
+        "op7_mixing": mixing.op7_sql(),
+    }
