@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, quality, urlfilter
+from . import linededup, mixing, nearjoin, packing, pii, quality, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": linededup.op1_line_dedup,
+        "op2_pii": pii.op2_pii,
+        "op3_ngram_jaccard": nearjoin.op3_ngram_jaccard,
         "op5_quality_rules": quality.op5_quality_rules,
         "op7_mixing": mixing.op7_mixing,
         "op8_packing": packing.op8_packing,
