@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, nearjoin, packing, pii, quality, urlfilter
+from . import linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_pii": pii.op2_pii,
         "op3_ngram_jaccard": nearjoin.op3_ngram_jaccard,
+        "op4_topk": topk.op4_topk,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_mixing": mixing.op7_mixing,
         "op8_packing": packing.op8_packing,
         "op10_url_filter": urlfilter.op10_url_filter,
@@ -24,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.op1_sql(),
+        "op4_topk": topk.op4_sql(),
         "op5_quality_rules": quality.op5_sql(),
         "op7_mixing": mixing.op7_sql(),
     }
