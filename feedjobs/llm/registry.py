@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
+from . import htmlcrf, linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_mixing": mixing.op7_mixing,
         "op8_packing": packing.op8_packing,
+        "op9_html_extraction": htmlcrf.op9_html_extraction,
         "op10_url_filter": urlfilter.op10_url_filter,
     }
 
