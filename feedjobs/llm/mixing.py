@@ -98,7 +98,8 @@ def repeat_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rest = F.when(F.col("size") > 0, F.pmod(F.col("taken"), F.col("size"))).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    first = F.regexp_extract(text, F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){"), F.greatest(F.col("_first"), F.lit(1)).cast("string"), F.lit("}+")), 0)
+    pattern = F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){"), F.greatest(F.col("_first"), F.lit(1)).cast("string"), F.lit("}+"))
+    first = F.coalesce(F.regexp_substr(F.col(text), pattern), F.col(text))
     return docs.withColumn("_first", F.explode(copies)).withColumn(text, F.when(F.col("_first") > 0, first).otherwise(F.col(text))).drop("_first")
 
 
