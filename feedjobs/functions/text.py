@@ -31,7 +31,7 @@ def _character(code: Column) -> Column:
     """The character of a decimal code point; empty where there is none."""
     n = code.try_cast("bigint")
     valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE")).otherwise("")
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
 
 
 def _decimal_entities(text: Column) -> Column:

@@ -14,6 +14,7 @@ from ..functions.dates import deadline_column, event_range_column
 from ..functions.text import clean_page, event_key, first_capture, has_any, squeeze
 from ..functions.urls import base_domain, host, same_site, url_root
 from ..sources.bodies import TOPIC_URL
+from ..storage import shared_dir
 from .keys import first_per_key, take_budget, top_n_per_site
 
 # Words and paths by which programme and event pages are told from others.
@@ -235,6 +236,7 @@ def select_pages(pages: DataFrame, links: DataFrame, seeds: DataFrame, how: Sele
     reached so far give the next ones; a URL keeps its smallest depth, then its smallest priority. Within a site
     the budget takes pages by priority, depth and URL, and only those are followed. Lineage is cut by a
     checkpoint in the shared folder after every round; there are at most max_depth rounds."""
+    shared_dir(pages.sparkSession)
     keep = ["site", "site_host", "url", "depth", "prio"]
     stored = pages.select("url").distinct()
     allowed = ~F.col("url").rlike(how.skip_path)

@@ -293,7 +293,7 @@ def items_from_listing(df: DataFrame, profile: ListingProfile, now: datetime, bo
         }
     ).where((F.char_length("title") >= profile.min_title) & (F.col("link") != ""))
     if profile.when:
-        rows = rows.withColumn("_when", parse_date_range(read(profile.when))).where("_when IS NOT NULL")
+        rows = rows.withColumn("_day", read(profile.when)).withColumn("_when", parse_date_range(F.col("_day"))).where("_when IS NOT NULL").drop("_day")
         rows = rows.withColumns({"starts": F.col("_when.start"), "ends": F.col("_when.end"), "date": F.date_format("_when.start", "yyyy-MM-dd'T'HH:mm:ss'Z'")}).drop("_when")
         longer = F.concat_ws(": ", "title", "summary")
         rows = rows.withColumn("title", F.when((F.col("summary") != "") & ~F.contains("title", F.col("summary")), F.left(longer, F.lit(160))).otherwise(F.col("title")))
