@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 SAMPLE, TRAIN_PAGES, EPOCHS = 120, 400, 25
+#: Training pages are laid out with the first words of the sampled blocks; extraction always reads whole pages.
+MATERIAL_WORDS = 80
 
 # Tags by their role.
 BLOCK_TAGS = frozenset(
@@ -53,27 +56,28 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class LeafBlock:
-    __slots__ = ("path", "names", "text", "linked")
+    __slots__ = ("path", "names", "text", "linked", "start")
 
-    def __init__(self, path, names, text, linked):
-        self.path, self.names, self.text, self.linked = path, names, text, linked
+    def __init__(self, path, names, text, linked, start):
+        self.path, self.names, self.text, self.linked, self.start = path, names, text, linked, start
 
 
 def leaf_blocks(page: str | None) -> list[LeafBlock]:
-    """Blocks in page order: tags of the ancestors, their name words, text with single blanks, linked characters."""
+    """Blocks in page order: tags of the ancestors, their name words, text with single blanks, linked characters,
+    and where in the page the text begins."""
     out: list[LeafBlock] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     run: list[str] = []
-    linked = 0
+    linked, start = 0, -1
     page = page or ""
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, start
         text = " ".join("".join(run).split())
         if text:
-            out.append(LeafBlock([t for t, _ in stack if t in BLOCK_TAGS], [n for _, n in stack], text, linked))
+            out.append(LeafBlock([t for t, _ in stack if t in BLOCK_TAGS], [n for _, n in stack], text, linked, start))
         run.clear()
-        linked = 0
+        linked, start = 0, -1
 
     def pop_to(i: int) -> None:
         flush()
@@ -88,6 +92,8 @@ def leaf_blocks(page: str | None) -> list[LeafBlock]:
             if piece[0] != "<" or len(piece) == 1:
                 text = entities.unescape(piece)
                 run.append(text)
+                if start < 0 and text.strip():
+                    start = m.start()
                 if any(t == "a" for t, _ in stack):
                     linked += len(text.strip())
             elif piece.startswith("<![CDATA["):
@@ -246,7 +252,7 @@ def _menu(r: random.Random, words) -> str:
 
 
 def training_page(r: random.Random, texts: list[str]) -> tuple[str, list[int]]:
-    """A page in a random structure, and the label of each of its leaf blocks in page order."""
+    """A page in a random structure, and the label of each of its leaf blocks in page order. texts: short texts."""
     parts: list[tuple[str, int]] = []  # html, label of its blocks
 
     def words(n: int) -> list[str]:
@@ -310,26 +316,22 @@ def training_page(r: random.Random, texts: list[str]) -> tuple[str, list[int]]:
         parts.append((other("ad side form comments menu notice"), 0))
     if r.random() < 0.9:
         parts.append((other("footer"), 0))
-    body, labels = "", []
-    head = f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{margin:0}}</style><script>x('</p>')</script></head><body>"
-    labels = [0] * len(leaf_blocks(head))
-    before = len(labels)
+    page = f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{margin:0}}</style><script>x('</p>')</script></head><body>"
+    ends, said = [len(page)], [0]
     for piece, label in parts:
-        body += piece
-        n = len(leaf_blocks(head + body))
-        labels += [label] * (n - before)
-        before = n
-    return head + body + r.choice(("</body></html>", "")), labels
+        page += piece
+        ends.append(len(page))
+        said.append(label)
+    page += r.choice(("</body></html>", ""))
+    return page, [said[bisect_right(ends, b.start)] for b in leaf_blocks(page)]
 
 
 def fit(texts: list[str], pages: int = TRAIN_PAGES, seed: int = 11) -> Field:
     r, field, made = random.Random(seed), Field(), []
-    texts = [t for t in texts if t.strip()] or ["A line of text.", "Another line of text, which is longer than the first one."]
+    texts = [" ".join(t.split()[:MATERIAL_WORDS]) for t in texts if t.strip()] or ["A line of text.", "Another line of text, which is longer than the first one."]
     for _ in range(pages):
         page, labels = training_page(r, texts)
-        blocks = leaf_blocks(page)
-        if len(blocks) == len(labels):
-            made.append((features(blocks), labels))
+        made.append((features(leaf_blocks(page)), labels))
     field.train(made)
     return field
 
