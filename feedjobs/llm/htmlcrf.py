@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import bounded_sample, small_batches
 
 SAMPLE, TRAIN_PAGES, EPOCHS = 120, 400, 25
 #: Training pages are laid out with the first words of the sampled blocks; extraction always reads whole pages.
@@ -338,8 +338,8 @@ def fit(texts: list[str], pages: int = TRAIN_PAGES, seed: int = 11) -> Field:
 
 def sample_texts(pages: DataFrame, page_id: str, html: str, sample: int = SAMPLE) -> list[str]:
     """Block texts of a bounded sample of pages, as material for training pages."""
-    rows = pages.where(F.col(html).isNotNull()).orderBy(F.xxhash64(page_id), page_id).select(html).limit(sample).collect()
-    return [b.text for r in rows for b in leaf_blocks(r[0])]
+    rows = bounded_sample(pages.where(F.col(html).isNotNull()).select(page_id, html), sample, page_id).collect()
+    return [b.text for r in rows for b in leaf_blocks(r[html])]
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample: int = SAMPLE) -> DataFrame:

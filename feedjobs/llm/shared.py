@@ -25,12 +25,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and each side of a later join
-    starts with an exchange of its own, which adaptive execution can split when a key is skewed."""
+    starts with an exchange of its own, which adaptive execution can split when a key is skewed. Tables of
+    hashes do not compress; written plainly they also spare the codec's buffers outside the heap."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +40,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def bounded_sample(df: DataFrame, n: int, key: str) -> DataFrame:
+    """n rows of df (all, if fewer), those with the smallest hash of key. Rows are thinned out by the hash first,
+    so no task or driver ever gets more than a few times n of them."""
+    total = df.count()
+    h = F.xxhash64(key)
+    thin = df.where(F.pmod(F.xxhash64(h), F.lit(max(1, total))) < 2 * n + 200) if total > 2 * n + 200 else df
+    return thin.orderBy(h, key).limit(n)
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

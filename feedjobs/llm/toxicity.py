@@ -23,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches, text_bytes, word_hashes, word_spans
+from .shared import bounded_sample, materialise, small_batches, text_bytes, word_hashes, word_spans
 
 TRAIN_ROWS, CALIBRATE_ROWS = 6000, 3000
 WORD_BITS, PREFIX_BITS, PREFIX = 18, 15, 4
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 5, 32, 0.1
+#: Small samples are passed more often (40 times at most), to make so many steps.
+MIN_STEPS = 600
+#: One empty clean text is added to the training rows for each so many.
+EMPTY_SHARE = 20
 
 # Function words by which the language of a text is guessed.
 LANGUAGES = {
@@ -196,8 +200,8 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibrate_rows: int = CALIBRATE_ROWS) -> Model | None:
     """A model from labels (doc_id, toxic) outside fold 0; None without both kinds of labels."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = materialise(known.withColumn("fold", fold(F.col("doc_id"))).where("fold != 0").withColumn("h", F.xxhash64("doc_id")), "labels")
-    first = lambda where, n: known.where(where).orderBy("h", "doc_id").limit(n)
+    known = materialise(known.withColumn("fold", fold(F.col("doc_id"))).where("fold != 0"), "labels")
+    first = lambda where, n: bounded_sample(known.where(where), n, "doc_id")
     sample = first("fold != 1 AND toxic = 1", train_rows // 2).unionByName(first("fold != 1 AND toxic = 0", train_rows - train_rows // 2)).withColumn("calibrate", F.lit(False))
     sample = sample.unionByName(first("fold = 1", calibrate_rows).withColumn("calibrate", F.lit(True)))
     sample = materialise(sample.select(F.col("doc_id").alias("_id"), "toxic", "calibrate"), "labelled-sample")  # bounded by both parameters
@@ -209,10 +213,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibr
         return None
     model = Model()
     decode = lambda r: [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(r["words"], r["prefixes"], strict=True)]
-    model.train(decode(train), train["toxic"].to_numpy().astype(np.float32))
+    nothing = len(train) // EMPTY_SHARE + 1  # texts without words count as clean
+    none = np.zeros(0, np.int32)
+    model.train(decode(train) + [(none, none)] * nothing, np.concatenate([train["toxic"].to_numpy(), np.zeros(nothing)]).astype(np.float32), max(EPOCHS, min(40, MIN_STEPS * BATCH // len(train))))
     held = check if len(check) else train
-    z = np.array([_logit(model, a, b) for a, b in decode(held)])
-    model.calibrate(z, held["lang"].to_numpy(), held["toxic"].to_numpy())
+    each = np.arange(len(LANGUAGES))  # a text without words must end up on the clean side in every language
+    z = np.array([_logit(model, a, b) for a, b in decode(held)] + [_logit(model, none, none)] * len(each))
+    model.calibrate(z, np.concatenate([held["lang"].to_numpy(), each]), np.concatenate([held["toxic"].to_numpy(), 0 * each]))
     return model
 
 
