@@ -99,7 +99,7 @@ _KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{_has(w)}') THEN '{k}'"
 _GATE_SQL = f"(lang <> 'en' OR (regexp_matches(t, '{_has(KINDS['job'])}') AND len(regexp_split_to_array(trim(title), '\\s+')) >= 4 AND NOT contains(title, '@')))"
 _CLASSIFIED_SQL = f"""SELECT doc_id, substr(sha1(link), 1, 16) AS id, title, link AS url, source,
     CASE WHEN lang = 'en' THEN 'job' ELSE {_KIND_SQL} END AS kind, left(summary, 300) AS summary, array_to_string({_matched('t')}, ',') AS matched
-    FROM ({_ITEMS_SQL}) WHERE len({_matched('t')}) > 0 AND NOT regexp_matches(t, '{_has(CFG.exclude)}') AND {_GATE_SQL}"""
+    FROM ({_ITEMS_SQL}) WHERE len({_matched('t')}) > 0 AND NOT regexp_matches(t, '{_has(CFG.exclude)}') AND {_GATE_SQL} AND (lang = 'en' OR {_KIND_SQL} <> 'paper')"""  # a paper without citations is below the impact
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
