@@ -3,9 +3,10 @@
 Plan
 1. Census: each document becomes its set of shingle hashes (64 bits). Equal sets are collapsed to one
    representative, the smallest doc_id, by a 128-bit digest of the set. Tasks also count shingles in a fixed
-   number of slots; the merged counts give each slot a level: 0 (rare, at most FREQ) or the logarithm of
-   its count. The array of levels has a fixed size and is broadcast.
-2. Signatures: tokens are ordered rare first, then by level. A partner at similarity 0.8 lacks at most
+   number of slots; the merged counts give each slot a level, exact for small counts and logarithmic
+   beyond. The array of levels has a fixed size and is broadcast.
+2. Signatures: tokens are ordered by level, rarest first; those of a slot with at most `freq` shingles are
+   called rare. A partner at similarity 0.8 lacks at most
    d = floor(n / 5) of the n tokens of a set, so a prefix from which d tokens can be taken away without
    destroying all its signatures is enough. Rare tokens are signatures by themselves and cover 1 each.
    Where they do not suffice the prefix is extended over frequent tokens, which are dealt to small
@@ -13,11 +14,12 @@ Plan
    number of classes follows the size of the set, so a set writes its pairs for its own size band and for
    the next one; sets that can link share a band. A set that cannot be covered at all also writes the plain
    prefix filter, in which any two such sets meet.
-3. Buckets: sets that share a signature. A bucket of a rare token has at most FREQ sets; others are counted
+3. Buckets: sets that share a signature. A bucket of a rare token has at most `freq` sets; others are counted
    with map-side sums. Pairs are not expanded: in each round every bucket compares one hub with its other
-   sets and then gives the hub up, links are verified on whole sets, and buckets whose sets are all in one
-   component are dropped. When few pairs are left they are joined directly, so no link between different
-   sets is lost.
+   sets and then gives the hub up; pairs that the place of the shared token rules out are skipped, the others
+   are verified on whole sets, and buckets whose sets are all in one component are dropped. When few pairs
+   are left, those between different components are joined directly, so no link between different sets is
+   lost.
 4. Components by repeated hooking to the smallest neighbour and pointer jumping.
 
 Defined results: a text without words has an empty set and links with nothing; fewer than five words form one
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, mix, small_batches, text_bytes, word_hashes, word_spans
@@ -43,6 +45,8 @@ K = 5
 #: Jaccard threshold as a ratio of integers, and the share of a set that a partner may lack: 1 - threshold.
 NUM, DEN, LACK = 4, 5, 5
 MAX_SLOT_BITS = 24
+#: Levels are counts up to this, then 8 steps for each doubling.
+_EXACT = 64
 _SEGMENT = 1 << 16
 _COEF = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _BAND = np.log(1.26)  # a little over 1 / 0.8: sets that link are in one band or in two neighbouring ones
@@ -59,6 +63,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         rolled += w[i : n - K + 1 + i] * _COEF[i]
     rolled = mix(rolled)
     out = []
+    pa.default_memory_pool().release_unused()
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= K:
             out.append(np.unique(rolled[a : b - K + 1]))
@@ -98,22 +103,28 @@ def _census(slot_bits: int):
     return run
 
 
-def _sum_counts(freq: int):
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """One byte that grows with the count."""
+    steps = _EXACT + 8 * np.log2(np.maximum(counts, _EXACT) / _EXACT)
+    return np.where(counts <= _EXACT, counts, np.minimum(steps, 255)).astype(np.uint8)
+
+
+def _sum_counts():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, np.ndarray] = {}
         for b in batches:
             for s, c in zip(b["segment"].to_pylist(), b["counts"].to_pylist(), strict=True):
                 c = np.frombuffer(zlib.decompress(c), np.uint16).astype(np.int64)
                 state[s] = state[s] + c if s in state else c
-        levels = [np.where(c > freq, np.log2(np.maximum(c, 1)), 0).astype(np.uint8).tobytes() for c in state.values()]
+        levels = [level_of(c).tobytes() for c in state.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array(levels, pa.binary())], ["segment", "levels"])
 
     return run
 
 
-def slot_levels(census: DataFrame, slot_bits: int, freq: int) -> np.ndarray:
-    """One byte for each slot: 0 for at most freq shingles, else the base-2 logarithm of their number."""
-    rows = census.where("segment IS NOT NULL").select("segment", "counts").repartition("segment").mapInArrow(_sum_counts(freq), "segment int, levels binary")
+def slot_levels(census: DataFrame, slot_bits: int) -> np.ndarray:
+    """One byte for each slot: the level of the number of shingles that fall into it."""
+    rows = census.where("segment IS NOT NULL").select("segment", "counts").repartition("segment").mapInArrow(_sum_counts(), "segment int, levels binary")
     out, width = np.zeros(1 << slot_bits, np.uint8), min(_SEGMENT, 1 << slot_bits)
     for r in rows.toLocalIterator():
         out[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
@@ -123,8 +134,10 @@ def slot_levels(census: DataFrame, slot_bits: int, freq: int) -> np.ndarray:
 # ------------------------------------------------------------------ 2. signatures
 
 
-def pair_signatures(tokens: np.ndarray, need: int, band: int) -> tuple[np.ndarray, bool]:
-    """Pairs of tokens of one class over the shortest prefix of `tokens` that covers `need`, and whether it does."""
+def pair_signatures(tokens: np.ndarray, need: int, band: int, offset: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Pairs of tokens of one class over the shortest prefix of `tokens` that covers `need`; for each the place of
+    its first token and what the prefix up to its second token covers besides it (both from offset); and whether
+    the prefix covers."""
     classes = max(1, round(1.26**band / LACK / 2))
     cls = (mix(tokens ^ np.uint64(0xB5297A4D)) % np.uint64(classes)).astype(np.int64)
     order = np.argsort(cls, kind="stable")
@@ -133,48 +146,59 @@ def pair_signatures(tokens: np.ndarray, need: int, band: int) -> tuple[np.ndarra
     covers = np.cumsum(rank > 0)
     end = int(np.searchsorted(covers, need)) + 1
     covered = end <= len(tokens)
-    out, salt = [], np.uint64((band * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    out, places, ranks, salt = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.uint64((band * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
     cls, prefix = cls[:end], tokens[:end]
     order = np.argsort(cls, kind="stable")
-    for group in np.split(prefix[order], np.flatnonzero(np.diff(cls[order])) + 1):
-        if len(group) > 1:
-            i, j = np.triu_indices(len(group), 1)
-            lo, hi = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
-            out.append(mix(lo * np.uint64(0xD6E8FEB86659FD93) + hi + salt))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), covered
-
-
-def signatures(s: np.ndarray, levels: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Single-token and other signatures of one set (sorted hashes)."""
+    for at in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
+        if len(at) > 1:
+            i, j = np.triu_indices(len(at), 1)
+            out.append(mix(prefix[at[i]] * np.uint64(0xD6E8FEB86659FD93) + prefix[at[j]] + salt))
+            places.append(at[i] + offset)
+            ranks.append(covers[at[j]] - 1 + offset)
+    return np.concatenate(out), np.concatenate(places), np.concatenate(ranks), covered
+
+
+def signatures(s: np.ndarray, levels: np.ndarray, slot_bits: int, freq: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Single-token signatures of one set (sorted hashes) in order, so their index is their place and rank; other
+    signatures; and for each of those its place and its rank: the number of tokens that can be missing for it to
+    be needed. freq is a level."""
     lack = len(s) // LACK
     level = levels[(s >> np.uint64(64 - slot_bits)).astype(np.int64)]
-    rare = s[level == 0]
-    if len(rare) > lack:
-        return rare[: lack + 1], np.zeros(0, np.uint64)
-    common = s[level > 0][np.argsort(level[level > 0], kind="stable")]
-    band, sets, sure = int(np.log(len(s)) / _BAND), [], True
+    order = np.argsort(level, kind="stable")
+    ordered, n_rare = s[order], int((level <= freq).sum())
+    if n_rare > lack:
+        return ordered[: lack + 1], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rare, common = ordered[:n_rare], ordered[n_rare:]
+    band, sets, places, ranks, sure = int(np.log(len(s)) / _BAND), [], [], [], True
     for p in (band, band + 1):
-        sig, covered = pair_signatures(common, lack + 1 - len(rare), p)
+        sig, at, rank, covered = pair_signatures(common, lack + 1 - len(rare), p, len(rare))
         sets.append(sig)
+        places.append(at)
+        ranks.append(rank)
         sure &= covered
     if not sure:
-        sets.append(mix(np.concatenate([rare, common])[: lack + 1] ^ np.uint64(0x5851F42D)))
-    return rare, np.unique(np.concatenate(sets))
+        sets.append(mix(ordered[: lack + 1] ^ np.uint64(0x5851F42D)))
+        places.append(np.arange(lack + 1))
+        ranks.append(np.arange(lack + 1))
+    other, first = np.unique(np.concatenate(sets), return_index=True)
+    return rare, other, np.concatenate(places)[first], np.concatenate(ranks)[first]
 
 
-def _signatures(levels, slot_bits: int):
+def _signatures(levels, slot_bits: int, freq: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, single, other = [], [], [], []
+            ids, sizes, single, other, places, ranks = [], [], [], [], [], []
             for i, s in zip(b["doc_id"].to_pylist(), shingle_sets(b["text"]), strict=True):
                 if len(s):
-                    one, more = signatures(s, levels.value, slot_bits)
+                    one, more, at, rank = signatures(s, levels.value, slot_bits, freq)
                     ids.append(i)
                     sizes.append(len(s))
                     single.append(one.view(np.int64))
                     other.append(more.view(np.int64))
+                    places.append(at)
+                    ranks.append(rank)
             lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(single), lists(other)], ["rep", "n", "single", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(single), lists(other), lists(places), lists(ranks)], ["rep", "n", "single", "other", "places", "ranks"])
 
     return run
 
@@ -190,12 +214,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_buckets(sig_rows: DataFrame) -> DataFrame:
-    """sig_rows (rep, n, single, other) -> sig, rep, n for all signatures that two sets share."""
-    one = sig_rows.select(F.explode("single").alias("sig"), "rep", "n")
-    one = one.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").drop("c")  # at most FREQ sets in each
-    more = materialise(sig_rows.select(F.explode("other").alias("sig"), "rep", "n"), "pair-signatures")
+    """sig_rows (rep, n, single, other, places, ranks) -> sig, pos, rank, rep, n for all signatures that two sets share."""
+    one = sig_rows.select(F.posexplode("single").alias("pos", "sig"), "rep", "n").select("sig", "pos", F.col("pos").alias("rank"), "rep", "n")
+    one = one.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").drop("c")  # rare tokens: few sets in each
+    more = sig_rows.select(F.explode(F.arrays_zip("other", "places", "ranks")).alias("x"), "rep", "n")
+    more = materialise(more.select(F.col("x.other").alias("sig"), F.col("x.places").cast("int").alias("pos"), F.col("x.ranks").cast("int").alias("rank"), "rep", "n"), "pair-signatures", "uncompressed")
     shared = materialise(more.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig"), "shared-signatures")
-    return one.unionByName(more.join(shared, "sig").select("sig", "rep", "n"))
+    return one.unionByName(more.join(shared, "sig").select("sig", "pos", "rank", "rep", "n"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,54 +249,73 @@ def components(links: DataFrame) -> DataFrame:
         labels = materialise(labels.join(open_, "label", "left").select("node", F.coalesce("lower", "label").alias("label")), "labels")
 
 
-def similar_groups(buckets: DataFrame, sets: DataFrame, direct: int = 4) -> DataFrame:
-    """node, label over all links between sets that share a bucket (see step 3 above). Hub rounds go on
-    while the pairs left are more than `direct` times the rows left."""
-    fits = (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    pair = lambda df: df.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, labels, turn = None, None, 0
+def _may_link(a: str, b: str) -> Column:
+    """Can two sets that share a signature reach the threshold, and is this one of those that show it?
+
+    They have at most min(places) tokens in common before the shared one and at most the shorter rest behind
+    it. And sets of sizes n and m that link have at least 4 (n + m) / 9 tokens in common, so each lacks fewer
+    than the general bound: signatures of a rank beyond that are not needed for this pair."""
+    c = lambda x: F.col(x)
+    both = NUM * (c(f"n{a}") + c(f"n{b}"))
+    needed = ((NUM + DEN) * (c(f"n{a}") - c(f"r{a}")) >= both) & ((NUM + DEN) * (c(f"n{b}") - c(f"r{b}")) >= both)
+    common = F.least(c(f"p{a}"), c(f"p{b}")) + 1 + F.least(c(f"n{a}") - c(f"p{a}"), c(f"n{b}") - c(f"p{b}")) - 1
+    return (c(a) != c(b)) & needed & (DEN * common >= NUM * (c(f"n{a}") + c(f"n{b}") - common))
+
+
+def _side(buckets: DataFrame, x: str) -> DataFrame:
+    return buckets.select(F.col("sig").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("rank").alias(f"r{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
+
+
+def similar_groups(buckets: DataFrame, sets: DataFrame, direct: int = 1000) -> DataFrame:
+    """node, label over all links between sets that share a bucket (see step 3 above).
+
+    buckets: sig, pos, rank, rep, n, comp. Each round compares the hub of each bucket (the smallest id first, often
+    the original; later ones by a hash) with its other sets and takes the hub out. When the pairs left are at most
+    `direct` for each row left, those between different components are joined directly."""
+    spark = buckets.sparkSession
+    links, labels, turn = None, spark.createDataFrame([], "node long, label long"), 0
     while True:
-        sized = buckets.groupBy("sig").agg(F.count("*").alias("c"), F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
+        hub = F.min_by(F.struct("rep", "n", "pos", "rank", "comp"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"))
+        sized = materialise(buckets.groupBy("sig").agg(F.count("*").alias("c"), hub.alias("hub")).where("c > 1"), "hubs")
         total = sized.agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
         if not total["rows"]:
-            return labels if labels is not None else buckets.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-        last = total["pairs"] <= direct * total["rows"]
+            return labels
+        last = turn > 0 and total["pairs"] <= direct * total["rows"]
         if last:
-            x = buckets.select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = buckets.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = pair(x.join(y, "sig").where("a < b AND ca != cb"))
+            met = _side(buckets, "a").join(_side(buckets, "b"), (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b"))
         else:
-            hubs = materialise(sized.where("c > 1").select("sig", F.col("hub.rep").alias("a"), F.col("hub.n").alias("na")), "hubs")
-            met = buckets.join(hubs, "sig")
-            pairs = pair(met.select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")))
+            h = sized.select("sig", F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("hub.rank").alias("ra"), F.col("hub.comp").alias("ca"))
+            met = _side(buckets, "b").join(h, (F.col("sb") == F.col("sig")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b"))
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = materialise(verified(materialise(pairs, "candidates"), sets).select("a", "b"), "found")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if last:
             return labels
-        rest = buckets.join(hubs, "sig").where("rep != a").select("sig", "rep", "n")
-        rest = materialise(rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", F.coalesce("label", "rep").alias("comp")), "buckets")
+        rest = buckets.join(sized.select("sig", F.col("hub.rep").alias("_hub")), "sig").where("rep != _hub").select("sig", "pos", "rank", "rep", "n")
+        rest = materialise(rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "pos", "rank", "rep", "n", F.coalesce("label", "rep").alias("comp")), "buckets", "uncompressed")
         mixed = materialise(rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"), "mixed-buckets")
-        buckets, turn = materialise(rest.join(mixed, "sig"), "buckets"), turn + 1
+        buckets, turn = materialise(rest.join(mixed, "sig"), "buckets", "uncompressed"), turn + 1
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_slot_bits: int = MAX_SLOT_BITS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, is_first (it is the row's class that names the component)."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 400)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
     slot_bits = min(max_slot_bits, max(12, (int(chars) // 20).bit_length()))
-    census = materialise(docs.mapInArrow(_census(slot_bits), _CENSUS), "census")
+    census = materialise(docs.mapInArrow(_census(slot_bits), _CENSUS), "census", "uncompressed")
     rows = census.where("segment IS NULL").select("doc_id", "n", "fp")
     tokens = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
-    levels = spark.sparkContext.broadcast(slot_levels(census, slot_bits, max(16, 4 * int(tokens) >> slot_bits)))
+    levels = spark.sparkContext.broadcast(slot_levels(census, slot_bits))
+    freq = int(level_of(np.array([max(16, 4 * int(tokens) >> slot_bits)]))[0])
     reps = materialise(rows.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    sig_rows = docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(levels, slot_bits), "rep long, n long, single array<long>, other array<long>")
-    sig_rows = materialise(sig_rows.join(reps.select("rep"), "rep", "left_semi"), "signatures")
-    buckets = materialise(find_buckets(sig_rows).select("sig", "rep", "n", F.col("rep").alias("comp")), "buckets")
+    sig_rows = docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(levels, slot_bits, freq), "rep long, n long, single array<long>, other array<long>, places array<long>, ranks array<long>")
+    sig_rows = materialise(sig_rows.join(reps.select("rep"), "rep", "left_semi"), "signatures", "uncompressed")
+    buckets = materialise(find_buckets(sig_rows).select("sig", "pos", "rank", "rep", "n", F.col("rep").alias("comp")), "buckets", "uncompressed")
     wanted = materialise(buckets.select(F.col("rep").alias("doc_id")).distinct(), "bucket-members")
-    sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"), "sets")
+    sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"), "sets", "uncompressed")
     labels = similar_groups(buckets, sets)
     classes = materialise(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "classes")
     out = rows.join(classes, "fp", "left")
