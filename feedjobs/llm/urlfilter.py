@@ -6,9 +6,12 @@ context that was seen down to a uniform distribution. One model is counted over
 accept, one over all that they reject. A URL that no rule decides gets the mean log-likelihood difference
 of its bytes; the threshold is calibrated on a tenth of the ruled URLs that the counts leave out.
 
-Spark adds up the counts of all tasks. Contexts are hashed to SLOTS slots, so the finished model has a fixed
-size (2 classes x (ORDER + 1) orders x SLOTS slots x 3 arrays of float32) and can be broadcast at any
-corpus size; more URLs fill the slots better, and SLOTS is the parameter to raise for more text.
+Counts are kept for every context and every byte that the ruled URLs hold, as a table with exact keys that grows
+with the corpus; nothing of it goes to the driver. The log-likelihood of a byte depends only on its window (the
+byte and up to ORDER bytes before it), so it is worked out once per different window, order by order: each join
+meets a context or a shorter window at most 256 times. The bytes of each different body then look up their
+windows; windows with more than 1/SPLIT of all bytes, fewer than SPLIT by definition, are broadcast, so no key
+of the shuffled join is hot. Gains are added as whole numbers (2^-32), so the order of the rows does not matter.
 
 Defined results: a null URL or one without `://` has empty host and path and no rule; a URL without bytes to
 score is allowed (score 0); without ruled URLs of both verdicts everything undecided is allowed.
@@ -17,13 +20,14 @@ score is allowed (score 0); without ruled URLs of both verdicts everything undec
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, materialise, mix, text_bytes
+from .shared import lower_ascii, materialise, text_bytes
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (
@@ -33,10 +37,12 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-ORDER, SLOTS = 5, 1 << 16
+ORDER, SPLIT = 5, 1000
 #: Share of accepted URLs that may be lost, and the fold of ruled URLs kept for calibration.
 MAX_LOST, FOLDS = 0.02, 10
 _BINS, _STEP = 4000, 0.005  # of the histogram of scores that the threshold is read from
+_BITS = 48  # of a window's bytes in its key: room for ORDER + 1 bytes, their number above them
+_UNIT = float(1 << 32)
 
 
 def with_rules(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
@@ -57,104 +63,113 @@ def with_rules(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     return df.withColumns({"rule": rule, "ruled": verdict})
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, slots: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each order: the positions that have such a context within their own URL, and its slots."""
-    first = np.repeat(offsets[:-1], np.diff(offsets))
-    at, h = np.arange(len(data)), np.full(len(data), 0x2545F491, dtype=np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            on = at - order >= first[at]
-            at, h = at[on], mix(h[on] * np.uint64(0x100000001B3) + data[at[on] - order].astype(np.uint64) + np.uint64(1))
-        yield order, at, (h % np.uint64(slots)).astype(np.int64)
+def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte the key of its window: itself and up to ORDER bytes before it in its own URL, the last byte
+    lowest, with their number above them."""
+    depth = np.minimum(np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets)), ORDER)
+    packed = np.zeros(len(data), dtype=np.int64)
+    for k in range(ORDER + 1):
+        on = np.flatnonzero(depth >= k)
+        packed[on] |= data[on - k].astype(np.int64) << (8 * k)
+    return packed | (depth.astype(np.int64) + 1) << _BITS
 
 
-def _gram(slot: np.ndarray, byte: np.ndarray, slots: int) -> np.ndarray:
-    return (mix(slot.astype(np.uint64) * np.uint64(256) + byte.astype(np.uint64)) % np.uint64(slots)).astype(np.int64)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: list = []
+    for b in batches:
+        accepted = np.asarray(b["accepted"].to_pylist(), dtype=bool)
+        for cls in (0, 1):
+            seen.append((cls, *np.unique(windows(*text_bytes(b["body"].filter(pa.array(accepted == bool(cls))))), return_counts=True)))
+        if sum(len(keys) for _, keys, _ in seen) > 2_000_000:
+            yield from _emit(seen)
+            seen = []
+    yield from _emit(seen)
 
 
-def _count(slots: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], list] = {}
-        for b in batches:
-            accepted = np.asarray(b["accepted"].to_pylist(), dtype=bool)
-            for cls in (0, 1):
-                data, offsets = text_bytes(b["body"].filter(pa.array(accepted == bool(cls))))
-                for order, at, slot in contexts(data, offsets, slots):
-                    keys, n = np.unique(slot * 256 + data[at], return_counts=True)
-                    seen.setdefault((cls, order), []).append((keys, n))
-            if sum(len(k) for x in seen.values() for k, _ in x) > 2_000_000:
-                yield from _emit(seen)
-                seen = {}
-        yield from _emit(seen)
+def _emit(seen: list) -> Iterator[pa.RecordBatch]:
+    for cls, keys, n in seen:
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(n.astype(np.int64) * (cls == c)) for c in (0, 1))], ["gram", "n0", "n1"])
 
-    return run
 
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, offsets = text_bytes(b["body"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["id"].to_numpy(), np.diff(offsets))), pa.array(windows(data, offsets))], ["id", "gram"])
 
-def _emit(seen: dict) -> Iterator[pa.RecordBatch]:
-    for (cls, order), parts in seen.items():
-        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-        if len(keys):
-            fill = lambda v: pa.array(np.full(len(keys), v, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([fill(cls), fill(order), pa.array(keys // 256), pa.array((keys % 256).astype(np.int32)), pa.array(n)], ["cls", "ord", "slot", "byte", "n"])
 
+def _last(n: int) -> Column:
+    """The last n bytes of a window, as a window."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1)).bitwiseOR(F.lit(n << _BITS))
 
-class Model:
-    """Smoothed counts as arrays [class, order, slot]: of context and byte, of the context, of its different bytes."""
-
-    def __init__(self, slots: int = SLOTS):
-        self.slots = slots
-        self.gram, self.total, self.kinds = (np.zeros((2, ORDER + 1, slots), dtype=np.float32) for _ in range(3))
-
-    def log_likelihood(self, cls: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of each byte."""
-        p = np.full(len(data), 1 / 256)
-        for order, at, slot in contexts(data, offsets, self.slots):
-            total, kinds = self.total[cls, order, slot], self.kinds[cls, order, slot]
-            n = self.gram[cls, order, _gram(slot, data[at], self.slots)]
-            n = np.minimum(n, total)  # another context may share the slot of the pair
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p[at] = np.where(total > 0, (n + kinds * p[at]) / (total + kinds), p[at])
-        return np.log(p)
 
-    def score(self, bodies: pa.Array) -> np.ndarray:
-        """Mean over the bytes of a URL of log P(accepted) - log P(rejected); 0 for an empty one."""
-        data, offsets = text_bytes(bodies)
-        gain = np.concatenate([[0.0], np.cumsum(self.log_likelihood(1, data, offsets) - self.log_likelihood(0, data, offsets))])
-        return (gain[offsets[1:]] - gain[offsets[:-1]]) / np.maximum(1, np.diff(offsets))
+def _suffixes() -> Column:
+    length = F.shiftright("gram", _BITS)
+    return F.explode(F.array_compact(F.array(*[F.when(length >= n, _last(n)) for n in range(1, ORDER + 2)]))).alias("gram")
 
 
-def train(ruled: DataFrame, slots: int = SLOTS) -> Model:
-    """Counts over all rows of ruled (accepted boolean, body string). The driver gets at most one row per slot."""
-    grams = materialise(
-        ruled.select("accepted", "body").mapInArrow(_count(slots), "cls int, ord int, slot long, byte int, n long").groupBy("cls", "ord", "slot", "byte").agg(F.sum("n").alias("n")),
-        "url-grams",
-    )
-    model = Model(slots)
-    r = grams.groupBy("cls", "ord", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
-    model.total[r["cls"], r["ord"], r["slot"]] = r["n"]
-    model.kinds[r["cls"], r["ord"], r["slot"]] = r["kinds"]
+def _context() -> Column:
+    """A window without its last byte, as a window (0 for the empty one)."""
+    return F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << _BITS) - 1)), 8).bitwiseOR(F.shiftleft(F.shiftright("gram", _BITS) - 1, _BITS))
+
 
-    def to_gram(batches):
-        for b in batches:
-            g = _gram(b["slot"].to_numpy(), b["byte"].to_numpy(), slots)
-            yield pa.RecordBatch.from_arrays([b["cls"], b["ord"], pa.array(g), b["n"]], ["cls", "ord", "gram", "n"])
+class Model:
+    """Counts of both classes (0 rejected, 1 accepted) as tables: grams (gram, n0, n1), a row per context and byte,
+    and contexts (ctx, t0, t1, k0, k1), with all bytes that follow the context and the number of different ones."""
+
+    def __init__(self, grams: DataFrame, split: int = SPLIT):
+        self.grams, self.split = grams, split
+        sums = [F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)] + [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)]
+        self.contexts = materialise(grams.groupBy(_context().alias("ctx")).agg(*sums), "url-contexts")
+
+    def knows_both(self) -> bool:
+        return not self.contexts.where("ctx = 0 AND t0 > 0 AND t1 > 0").isEmpty()
+
+    def gains(self, wanted: DataFrame) -> DataFrame:
+        """gram, gain for all windows of wanted and their shorter ends: log P(accepted) - log P(rejected) of the
+        last byte, in units of 2^-32."""
+        wanted = materialise(wanted.select(_suffixes()).distinct(), "url-wanted")
+        before, levels = None, []
+        for n in range(1, ORDER + 2):
+            df = wanted.where(F.shiftright("gram", _BITS) == n).join(self.grams, "gram", "left").withColumn("ctx", _context()).join(self.contexts, "ctx", "left")
+            if before is None:
+                df = df.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+            else:
+                df = df.withColumn("end", _last(n - 1)).join(before.select(F.col("gram").alias("end"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "end")
+            p = lambda c: F.when(F.col(f"t{c}") > 0, (F.coalesce(f"n{c}", F.lit(0)) + F.col(f"k{c}") * F.col(f"q{c}")) / (F.col(f"t{c}") + F.col(f"k{c}"))).otherwise(F.col(f"q{c}")).alias(f"p{c}")
+            before = materialise(df.select("gram", p(0), p(1)), "url-chances")
+            levels.append(before.select("gram", F.round((F.log("p1") - F.log("p0")) * _UNIT).cast("long").alias("gain")))
+        return reduce(DataFrame.unionByName, levels)
+
+    def scores(self, bodies: DataFrame) -> DataFrame:
+        """id (xxhash64 of a body), score for the different bodies that are not empty: the mean gain of their bytes."""
+        some = materialise(bodies.where("body != ''").select("body").distinct().select(F.xxhash64("body").alias("id"), "body"), "url-bodies")
+        positions = some.mapInArrow(_positions, "id long, gram long")
+        seen = materialise(positions.groupBy("gram").agg(F.count("*").alias("c")), "url-windows")
+        total = seen.agg(F.sum("c").alias("c")).first()["c"] or 0
+        gains = materialise(self.gains(seen.select("gram")).join(seen, "gram"), "url-gains")
+        hot = F.broadcast(gains.where(F.col("c") * self.split > total).select("gram", "gain"))
+        rest = gains.where(F.col("c") * self.split <= total).select("gram", "gain")
+        each = positions.join(hot, "gram").unionByName(positions.join(hot.select("gram"), "gram", "left_anti").join(rest, "gram"))
+        return materialise(each.groupBy("id").agg((F.sum("gain") / F.count("*") / _UNIT).alias("score")), "url-scores")
 
-    r = grams.mapInArrow(to_gram, "cls int, ord int, gram long, n long").groupBy("cls", "ord", "gram").agg(F.sum("n").alias("n")).toPandas()
-    model.gram[r["cls"], r["ord"], r["gram"]] = r["n"]
-    return model
+    def score(self, bodies: pa.Array) -> np.ndarray:
+        """Scores of a few URLs; 0 for an empty one."""
+        df = self.grams.sparkSession.createDataFrame(list(enumerate(bodies.to_pylist())), "i long, body string")
+        return np.array([r["score"] for r in with_scores(df, self.scores(df)).orderBy("i").collect()])
 
 
-def with_scores(df: DataFrame, model: Model, body: str = "body") -> DataFrame:
-    """Adds score. The model is broadcast; its size is fixed by the number of slots."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", score double"
+def train(ruled: DataFrame, split: int = SPLIT) -> Model:
+    """Counts over all rows of ruled (accepted boolean, body string)."""
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1")]
+    whole = ruled.select("accepted", "body").mapInArrow(_count, "gram long, n0 long, n1 long").groupBy("gram").agg(*sums)
+    return Model(materialise(whole.select(_suffixes(), "n0", "n1").groupBy("gram").agg(*sums), "url-grams"), split)
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b[body]))], [*b.schema.names, "score"])
 
-    return df.mapInArrow(run, schema)
+def with_scores(df: DataFrame, scores: DataFrame, body: str = "body") -> DataFrame:
+    """Adds score, 0 for a body without one."""
+    joined = df.drop("score").withColumn("_id", F.xxhash64(body)).join(scores.withColumnRenamed("id", "_id"), "_id", "left")
+    return joined.withColumn("score", F.coalesce("score", F.lit(0.0))).drop("_id")
 
 
 def calibrate(scored: DataFrame, max_lost: float = MAX_LOST) -> float:
@@ -172,17 +187,18 @@ def calibrate(scored: DataFrame, max_lost: float = MAX_LOST) -> float:
     return float((int(gain.argmax()) - _BINS // 2) * _STEP)
 
 
-def judge(pages: DataFrame, url: str = "url", rules=RULES, slots: int = SLOTS) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", rules=RULES, split: int = SPLIT) -> DataFrame:
     """pages with host, path, rule, score and verdict. Columns of pages that have one of these names are replaced."""
     df = with_rules(pages, url, rules)
     fold = F.pmod(F.xxhash64("body"), F.lit(FOLDS))
     ruled = df.where("rule IS NOT NULL").select((F.col("ruled") == "allow").alias("accepted"), "body", fold.alias("fold"))
-    model = train(ruled.where("fold != 0"), slots)
-    if not model.total[:, 0].any(axis=1).all():
+    model = train(ruled.where("fold != 0"), split)
+    if not model.knows_both():
         return df.withColumns({"score": F.lit(0.0), "verdict": F.coalesce("ruled", F.lit("allow"))}).drop("body", "ruled")
-    edge = calibrate(with_scores(ruled.where("fold = 0"), model))
+    scores = model.scores(df.select("body"))
+    edge = calibrate(with_scores(ruled.where("fold = 0"), scores))
     said = F.when((F.col("body") == "") | (F.col("score") >= edge), "allow").otherwise("block")
-    return with_scores(df, model).withColumn("verdict", F.coalesce("ruled", said)).drop("body", "ruled")
+    return with_scores(df, scores).withColumn("verdict", F.coalesce("ruled", said)).drop("body", "ruled")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,3 +456,32 @@ def test_url_model_equals_plain_counts(spark):
     bodies = [make("abcdefg") for _ in range(40)] + [""]
     want = [(log_p(True, b.encode()) - log_p(False, b.encode())) / max(1, len(b)) for b in bodies]
     assert np.allclose(model.score(pa.array(bodies)), want, atol=0.15) and np.median(abs(model.score(pa.array(bodies)) - want)) < 1e-3
+
+
+def test_url_model_grows_with_the_corpus(spark):
+    """Far more contexts than 2^16 per class: none share their counts."""
+    r = random.Random(11)
+    make = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))
+    data = [(i % 2 == 0, make()) for i in range(6000)]
+    model = urlfilter.train(spark.createDataFrame(data, "accepted boolean, body string"))
+    counts = defaultdict(Counter)
+    for ok, body in data:
+        for i in range(len(body)):
+            for k in range(min(i, urlfilter.ORDER) + 1):
+                counts[ok, body[i - k : i]][body[i]] += 1
+    assert sum(1 for ok, c in counts if ok) > 1 << 17
+
+    def log_p(ok, body):
+        total = 0.0
+        for i in range(len(body)):
+            p = 1 / 256
+            for k in range(min(i, urlfilter.ORDER) + 1):
+                c = counts.get((ok, body[i - k : i]))
+                if c:
+                    p = (c[body[i]] + len(c) * p) / (sum(c.values()) + len(c))
+            total += np.log(p)
+        return total
+
+    bodies = [make() for _ in range(20)] + [body for _, body in data[:20]]
+    want = [(log_p(True, b) - log_p(False, b)) / len(b) for b in bodies]
+    assert np.allclose(model.score(pa.array(bodies)), want, atol=1e-8)
