@@ -5,11 +5,10 @@ text) and term t the corpus gives the numbers of documents n(e), n(t), n(e, t) o
     PMI(e, t) = ln(N n(e, t) / (n(e) n(t)))    of the    IC(e) = ln(N / n(e))
 that the entity itself carries. In a document that holds e, terms with PMI >= REMOVE * IC are removed, those
 with PMI >= GENERALISE * IC are replaced by their kind. Co-occurrence counts as evidence only if the pair is
-seen with SUPPORT different surroundings of the entity, so copies of a document and templates, in which
-everything occurs with everything, count once.
+seen in SUPPORT different texts, so exact copies of a document count once, however often they hold the entity.
 
 DataFrame functions only. Positions are counted in code points: a text is split at the matches and the
-lengths are added up. Only documents that hold an entity of enough different surroundings are joined with
+lengths are added up. Only documents that hold an entity of enough different texts are joined with
 their terms, and only terms that co-occur often enough are counted over the whole corpus.
 
 Defined results: a null text is empty and has no spans; equal documents get equal spans; counts are of rows, so
@@ -82,16 +81,30 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(words_of(F.replace(F.replace(F.concat(plain, F.lit(" ")), F.lit(". "), F.lit(" ")), F.lit(".\n"), F.lit(" "))))
 
 
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["value"])
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """A text with a blank in the place of each span."""
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, F.lit(" ")).alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+
+
 def disclosing_terms(docs: DataFrame, held: DataFrame, n_docs: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """entity, term, ratio = PMI / IC for the pairs that reach the threshold.
 
-    held: a row per document and entity (entity, ctx, terms); docs: all documents (text)."""
-    seen = held.groupBy("entity", "ctx").agg(F.count("*").alias("n"))
+    held: a row per document and entity (entity, _hash of the text, terms); docs: all documents (text)."""
+    seen = held.groupBy("entity", "_hash").agg(F.count("*").alias("n"))
     strong = materialise(seen.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("c")).where(F.col("c") >= support).select("entity", "n_e"), "entities")
-    pairs = held.join(strong.select("entity"), "entity").select("entity", "ctx", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term", "ctx").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("c"))
+    pairs = held.join(strong.select("entity"), "entity").select("entity", "_hash", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term", "_hash").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("c"))
     # n(t) >= n(e, t): the ratio can't reach the threshold unless it does so with n(t) = n(e, t), so all are tried
-    pairs = materialise(pairs.where(F.col("c") >= support).where("instr(substring(entity, instr(entity, ':') + 1), term) = 0").select("entity", "term", "n_et"), "entity-terms")
+    pairs = materialise(pairs.where(F.col("c") >= support).select("entity", "term", "n_et"), "entity-terms")
     wanted = materialise(pairs.select("term").distinct(), "terms")
     few = wanted.count() <= 100_000  # then they fit into a broadcast; else both sides are shuffled
     every = docs.select(F.explode(terms_of(F.coalesce("text", F.lit("")))).alias("term"))
@@ -114,9 +127,9 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     n_docs = docs.count()
     found = materialise(docs.withColumn("base", base_spans(F.col("text"))).select("doc_id", "_hash", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base-spans")
     some = found.where("text IS NOT NULL")
-    around = lambda s: F.xxhash64(F.expr("substring(text, greatest(1, s.start - 23), least(24, s.start))"), F.expr("substring(text, s.end + 1, 24)"))
-    held = some.select("doc_id", "_hash", "text", F.explode("base").alias("s")).select("doc_id", "_hash", F.concat_ws(":", "s.kind", "s.value").alias("entity"), around("s").alias("ctx"), "text")
-    held = held.withColumn("terms", terms_of(F.col("text"))).drop("text")
+    held = some.select("doc_id", "_hash", "text", "base", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    own = F.filter("base", lambda s: _entity(s) == F.col("entity"))
+    held = held.select("doc_id", "_hash", "entity", terms_of(_without(F.col("text"), own)).alias("terms"))
     flagged = materialise(disclosing_terms(docs, held, n_docs), "disclosing-terms")
     told = held.select("doc_id", "_hash", "entity").distinct().join(flagged, "entity").groupBy("doc_id", "_hash", "term").agg(F.max("ratio").alias("ratio"))
     told = told.groupBy("doc_id", "_hash").agg(F.collect_list(F.struct(F.char_length("term").alias("n"), "term", "ratio")).alias("told"))

@@ -132,6 +132,22 @@ def test_pii(spark, docs, rows):
     assert pii.find_spans(empty(spark)).count() == 0
 
 
+def test_pii_counts_different_documents(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join(f"u{r.randint(0, 10**6)}" for _ in range(n))
+    block = "the press office may be reached at ann@mail.org or in person, ask there for Ann Whitmore and ann at the desk"
+    same = [(i, f"{words(9)} {block} {words(9)}") for i in range(5)]  # one fixed block around the entity
+    alone = [(100, " ".join(f"{words(8)} alone@mail.org Solitary {words(8)}" for _ in range(5)))]
+    other = [(200 + i, words(30)) for i in range(300)]
+    df = spark.createDataFrame(same + alone + other, "doc_id long, text string")
+    got = {x["doc_id"]: {(s["start"], s["end"]) for s in x["added"]} for x in pii.find_spans(df).collect()}
+    for i, t in same:
+        at, part = t.index("Whitmore"), t.index("ann at")
+        assert (at, at + 8) in got[i] and (part, part + 3) in got[i]
+        assert not any(s < t.index("the press") or e > t.index("desk") + 4 for s, e in got[i])
+    assert not any(got[i] for i, _ in alone + other)
+
+
 def test_pii_is_native(spark, docs):
     plan = pii.find_spans(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
