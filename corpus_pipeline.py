@@ -36,10 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken").dropDuplicates(["_id"])
-    joined = docs.join(taken, F.col("doc_id") == F.col("_id")).drop("_id")
-    return _documents(mixing.repeat_documents(joined))
+    """Rows are told apart by a number of their own, as doc_id may be null or repeated; equal rows are interchangeable."""
+    docs = materialise(docs.select(*COLUMNS, F.xxhash64("text", "lang", "source").alias("_same"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    taken = mixing.mix(docs, keep=("_same", "_row")).where("taken > 0").select("_row", "size", "taken")
+    return _documents(mixing.repeat_documents(docs.join(taken, "_row")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

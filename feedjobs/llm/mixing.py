@@ -12,7 +12,7 @@ with a third of all rows is spread over as many pieces as its rows need.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; an
 empty table gives an empty result; repeated rows are documents of their own; keys depend on doc_id and the
-seed only, so reruns agree. Other columns pass through `mix` except those named like its results.
+seed only, so reruns agree. Other columns pass through `mix` where `keep` names them.
 """
 
 from __future__ import annotations
@@ -70,27 +70,28 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return per.select("skey", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, and the columns named in keep.
+    Where rows share key and doc_id, those columns decide the order."""
     t = F.col(text)
     skey = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))  # keeps code-point order, null last
     key = sampling_key(F.col(doc_id), quality_weight(t), seed)
-    sizes = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), n_words_of(t).alias("size"), key.alias("key")), "mix-sizes")
+    sizes = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), n_words_of(t).alias("size"), key.alias("key"), *keep), "mix-sizes")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialise(sizes.repartitionByRange(n, "skey", "key", "doc_id").withColumn("piece", F.spark_partition_id()), "mix-pieces")
+    pieces = materialise(sizes.repartitionByRange(n, "skey", "key", "doc_id", *keep).withColumn("piece", F.spark_partition_id()), "mix-pieces")
     plan = materialise(targets(sizes, weights, max_epochs), "mix-targets")
     # words in earlier pieces of the same source: one row per piece and source
     sums = pieces.groupBy("skey", "piece").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("skey").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialise(sums.select("skey", "piece", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start")).join(plan, "skey"), "mix-starts")
-    inside = Window.partitionBy("skey", "piece").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "piece").orderBy("key", "doc_id", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["skey", "piece"])
     budget = F.floor("target")
     full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     left = budget - F.col("full") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start") - F.col("inside")))
-    return placed.withColumn("full", full).withColumn("taken", (F.col("full") * F.col("size") + part).cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return placed.withColumn("full", full).withColumn("taken", (F.col("full") * F.col("size") + part).cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken", *keep)
 
 
 def repeat_documents(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -323,13 +323,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id names its component: one document of each group. Of rows that share a
-    doc_id one stays (the smallest text)."""
-    groups = near_duplicates(docs, doc_id, text)
+    """One document of each group: the rows of docs whose doc_id names its component, and all rows without a doc_id.
+    Where different texts share a doc_id, each of them is a document of its own, in order of doc_id and a hash."""
+    named = docs.where(F.col(doc_id).isNotNull())
+    texts = named.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"))
+    key = doc_id
+    if not texts.groupBy("_id").agg(F.min("_hash").alias("lo"), F.max("_hash").alias("hi")).where("lo < hi").isEmpty():
+        keys = materialise(texts.distinct().orderBy("_id", "_hash").withColumn("_key", F.monotonically_increasing_id()), "document-keys")
+        key = "_key"
+        named = materialise(named.withColumn("_h", F.xxhash64(text)).join(keys, (F.col(doc_id) == F.col("_id")) & (F.col("_h") == F.col("_hash"))).drop("_h", "_id", "_hash"), "keyed-documents")
+    groups = near_duplicates(named, key, text)
     first = materialise(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "first-documents")
-    keep = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col(doc_id) == F.col("_first"), "left_semi")
-    once = Window.partitionBy(doc_id).orderBy(text)
-    return keep.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").drop("_turn").unionByName(docs.where(F.col(doc_id).isNull()))
+    keep = named.join(first.withColumnRenamed("doc_id", "_first"), F.col(key) == F.col("_first"), "left_semi")
+    once = Window.partitionBy(key).orderBy(text)
+    keep = keep.withColumn("_turn", F.row_number().over(once)).where("_turn = 1")
+    return keep.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

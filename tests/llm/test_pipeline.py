@@ -1,5 +1,6 @@
 """The pipeline: each stage on what the one before kept, and the whole against a brute-force version."""
 
+import random
 import re
 from collections import Counter
 
@@ -43,3 +44,17 @@ def test_stages(spark):
 def test_run(spark):
     got = P.run(spark, SF).toPandas()
     assert set(got.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and len(got)
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Rows whose doc_id is null or shared keep their own words through the mix, and their own texts before it."""
+    r = random.Random(6)
+    words = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    rows = [(None, words(40 + i)) for i in range(6)] + [(7, words(n)) for n in (30, 90, 200)] + [(i, words(50)) for i in range(20, 30)]
+    copy = rows[7][1] + " end"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert pairs(P.mix_sources(spark, make(rows), SF)) == Counter(rows)  # a single source gets all of its words
+    got = pairs(P.near_duplicates(spark, make([*rows, (7, copy), (99, rows[7][1]), (7, rows[6][1])]), SF))
+    assert sum(got[7, t] for t in (rows[7][1], copy)) == 1
+    assert got - Counter({(7, copy): 1, (7, rows[7][1]): 1}) == Counter(rows) - Counter({(7, rows[7][1]): 1})
