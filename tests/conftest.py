@@ -3,6 +3,7 @@ import sys
 import tempfile
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -51,7 +52,7 @@ def comparable(pdf):
     cols = sorted(pdf.columns)
 
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
