@@ -135,8 +135,12 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, with their own columns only."""
-    return judge(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text", rules).where("kept").select("_row.*")
+    """The rows of docs that pass, with their own columns only.
+
+    The verdict goes through a one-element array: a filter on it stays where it is, while one on the computed
+    column would be pushed below all projections, with every one of them written out anew for each use."""
+    judged = judge(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text", rules)
+    return judged.select("_row", F.explode(F.array("kept")).alias("_good")).where("_good").select("_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
