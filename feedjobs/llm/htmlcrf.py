@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, small_batches
+from .shared import bounded_sample, sliced
 
 SAMPLE, TRAIN_PAGES, EPOCHS = 120, 400, 25
 #: Training pages are laid out with the first words of the sampled blocks; extraction always reads whole pages.
@@ -345,13 +345,12 @@ def sample_texts(pages: DataFrame, page_id: str, html: str, sample: int = SAMPLE
 def extract(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample: int = SAMPLE) -> DataFrame:
     """pages with text and n_chars in place of html."""
     spark = pages.sparkSession
-    small_batches(spark, 500)
     shared = spark.sparkContext.broadcast(fit(sample_texts(pages, page_id, html, sample)))
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     df = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html).alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "_html"):
             texts = [main_text(h, shared.value) for h in b["_html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 

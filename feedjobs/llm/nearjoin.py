@@ -14,13 +14,18 @@ Plan
    number of classes follows the size of the set, so a set writes its pairs for its own size band and for
    the next one; sets that can link share a band. A set that cannot be covered at all also writes the plain
    prefix filter, in which any two such sets meet.
-3. Buckets: sets that share a signature. A bucket of a rare token has at most `freq` sets; others are counted
-   with map-side sums. Pairs are not expanded: in each round every bucket compares one hub with its other
-   sets and then gives the hub up; pairs that the place of the shared token rules out are skipped, the others
-   are verified on whole sets, and buckets whose sets are all in one component are dropped. When few pairs
-   are left, those between different components are joined directly, so no link between different sets is
-   lost.
-4. Components by repeated hooking to the smallest neighbour and pointer jumping.
+3. Buckets: sets that share a signature. Within buckets of at most SMALL sets all pairs are candidates. A larger
+   bucket compares one hub with its other sets, gives the hub up, and is dropped once its sets are all in one
+   component; after ROUNDS hubs the pairs left between different components are taken in blocks of BLOCK sets,
+   so no link between different sets is lost and no task gets a whole bucket.
+   Candidates that the place of the shared token rules out are skipped at once, most others by parity sketches
+   of the sets (about 1/30 of their size), which never rule out a link; what is left is verified on whole sets.
+4. Components by repeated hooking to the smallest neighbour and pointer jumping; new links only hook the
+   components that they touch.
+
+Bounds: the array of levels has 2^24 bytes at most, so in a corpus of very many more tokens only those far above the
+average of a slot count as frequent. A task remembers the digests of its first 500,000 texts and counts up to
+65,000 per slot; beyond, copies raise counts. All this only changes the order of tokens, never the result.
 
 Defined results: a text without words has an empty set and links with nothing; fewer than five words form one
 shingle of the whole sequence; equal rows are copies; rows with a null doc_id link with nothing (their component is null).
@@ -39,12 +44,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, mix, small_batches, text_bytes, word_hashes, word_spans
+from .shared import discard, filter_places, id_filter, in_filter, materialise, mix, sliced, text_bytes, word_hashes, word_spans
 
 K = 5
 #: Jaccard threshold as a ratio of integers, and the share of a set that a partner may lack: 1 - threshold.
 NUM, DEN, LACK = 4, 5, 5
 MAX_SLOT_BITS = 24
+#: Buckets of at most SMALL sets are joined directly; larger ones go through ROUNDS of hubs, then in blocks of BLOCK sets.
+SMALL, ROUNDS, BLOCK = 32, 2, 1000
 #: Levels are counts up to this, then 8 steps for each doubling.
 _EXACT = 64
 _SEGMENT = 1 << 16
@@ -82,7 +89,7 @@ _CENSUS = "doc_id long, n long, fp binary, segment int, counts binary"
 def _census(slot_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << slot_bits, np.uint16), set()
-        for b in batches:
+        for b in sliced(batches, "text"):
             sizes, digests = [], []
             for s in shingle_sets(b["text"]):
                 fp = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
@@ -184,43 +191,78 @@ def signatures(s: np.ndarray, levels: np.ndarray, slot_bits: int, freq: int) ->
     return rare, other, np.concatenate(places)[first], np.concatenate(ranks)[first]
 
 
-def _signatures(levels, slot_bits: int, freq: int):
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens in 2^k classes, at least one for each token, as 64-bit words. Each token
+    that only one of two sets has turns one bit, so two sets differ in at least as many tokens as their sketches
+    in bits; a sketch of twice the length is folded by exclusive or of its halves."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _lists(xs: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
+
+
+_SIGNATURES = "rep long, copy boolean, n long, sketch array<long>, single array<long>, other array<long>, places array<long>, ranks array<long>"
+
+
+def _signatures(levels, slot_bits: int, freq: int, copies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sizes, single, other, places, ranks = [], [], [], [], [], []
-            for i, s in zip(b["doc_id"].to_pylist(), shingle_sets(b["text"]), strict=True):
+        for b in sliced(batches, "text"):
+            out: list[list] = [[] for _ in range(8)]
+            maybe = in_filter(copies.value, b["at"])
+            for i, copy, s in zip(b["doc_id"].to_pylist(), maybe.tolist(), shingle_sets(b["text"]), strict=True):
                 if len(s):
                     one, more, at, rank = signatures(s, levels.value, slot_bits, freq)
-                    ids.append(i)
-                    sizes.append(len(s))
-                    single.append(one.view(np.int64))
-                    other.append(more.view(np.int64))
-                    places.append(at)
-                    ranks.append(rank)
-            lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(single), lists(other), lists(places), lists(ranks)], ["rep", "n", "single", "other", "places", "ranks"])
+                    row = (i, copy, len(s), sketch_of(s), one.view(np.int64), more.view(np.int64), at, rank)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            plain = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*plain, *map(_lists, out[3:])], [f.split()[0] for f in _SIGNATURES.split(", ")])
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        xs = [s.view(np.int64) for s in shingle_sets(b["text"])]
-        arr = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], arr], ["doc_id", "tokens"])
+def _sets(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            b = b.filter(pa.array(in_filter(wanted.value, b["at"])))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], _lists([s.view(np.int64) for s in shingle_sets(b["text"])])], ["doc_id", "tokens"])
+
+    return run
 
 
 # ------------------------------------------------------------------ 3. buckets and links
 
 
 def find_buckets(sig_rows: DataFrame) -> DataFrame:
-    """sig_rows (rep, n, single, other, places, ranks) -> sig, pos, rank, rep, n for all signatures that two sets share."""
+    """sig_rows (rep, n, single, other, places, ranks) -> sig, pos, rank, rep, n, c for all signatures that two sets
+    share; c is the number of sets that do."""
     one = sig_rows.select(F.posexplode("single").alias("pos", "sig"), "rep", "n").select("sig", "pos", F.col("pos").alias("rank"), "rep", "n")
-    one = one.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").drop("c")  # rare tokens: few sets in each
     more = sig_rows.select(F.explode(F.arrays_zip("other", "places", "ranks")).alias("x"), "rep", "n")
-    more = materialise(more.select(F.col("x.other").alias("sig"), F.col("x.places").cast("int").alias("pos"), F.col("x.ranks").cast("int").alias("rank"), "rep", "n"), "pair-signatures", "uncompressed")
-    shared = materialise(more.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig"), "shared-signatures")
-    return one.unionByName(more.join(shared, "sig").select("sig", "pos", "rank", "rep", "n"))
+    more = more.select(F.col("x.other").alias("sig"), F.col("x.places").cast("int").alias("pos"), F.col("x.ranks").cast("int").alias("rank"), "rep", "n")
+    # few sets share a rare token, so those are counted where they meet; any number can share a pair, so those are
+    # counted with sums that combine before the shuffle
+    one = one.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1")
+    shared = more.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    return one.unionByName(more.join(shared, "sig").select("sig", "pos", "rank", "rep", "n", "c"))
+
+
+def sketch_distance(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, the longer folded to the length of the shorter: never more than the
+    number of tokens that only one of the sets has."""
+    half = lambda x: (F.size(x) / 2).cast("int")
+    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+    folded = lambda x, y: F.when(F.size(x) > F.size(y), xor(F.slice(x, 1, half(x)), F.slice(x, half(x) + 1, half(x)))).otherwise(F.col(x))
+    return F.aggregate(xor(folded(a, b), folded(b, a)), F.lit(0), lambda n, w: n + F.bit_count(w))
+
+
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link: two sets that reach the threshold differ in at most (n_a + n_b) / 9 tokens."""
+    left, right = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    near = (NUM + DEN) * sketch_distance("sa", "sb") <= (2 * DEN - (NUM + DEN)) * (F.col("na") + F.col("nb"))
+    return pairs.join(right, "b").join(left, "a").where(near).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,6 +291,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = materialise(labels.join(open_, "label", "left").select("node", F.coalesce("lower", "label").alias("label")), "labels")
 
 
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels of all nodes after new links (a, b): only the components that the new links touch are hooked anew."""
+    if labels is None:
+        return components(links)
+    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    between = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(between).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    known = labels.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    fresh = moved.join(labels.select("node"), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    return materialise(known.unionByName(fresh), "labels")
+
+
 def _may_link(a: str, b: str) -> Column:
     """Can two sets that share a signature reach the threshold, and is this one of those that show it?
 
@@ -263,45 +317,81 @@ def _may_link(a: str, b: str) -> Column:
 
 
 def _side(buckets: DataFrame, x: str) -> DataFrame:
-    return buckets.select(F.col("sig").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("rank").alias(f"r{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
-
-
-def similar_groups(buckets: DataFrame, sets: DataFrame, direct: int = 1000) -> DataFrame:
+    rest = [c for c in buckets.columns if c not in ("sig", "pos", "rank", "rep", "n", "c", "comp")]
+    return buckets.select(*rest, F.col("sig").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("rank").alias(f"r{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
+
+
+def block_pairs(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) of different components within buckets that may link. A bucket of more than `block` sets is cut
+    into chunks; each two chunks meet under a key of their own, so no task gets more than two chunks of a bucket."""
+    k = F.ceil(F.col("c") / block).cast("int")
+    chunk = F.pmod(F.xxhash64("rep", F.lit("chunk")), k).cast("int")
+    left = _side(buckets.withColumn("i", chunk).withColumn("j", F.explode(F.sequence("i", k - 1))), "a")
+    right = _side(buckets.withColumn("j", chunk).withColumn("i", F.explode(F.sequence(F.lit(0), "j"))), "b")
+    same = (F.col("sa") == F.col("sb")) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    once = (left["i"] < left["j"]) | (F.col("a") < F.col("b"))
+    met = left.join(right, same & once & (F.col("ca") != F.col("cb")) & _may_link("a", "b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def hub_pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs of the hub of each bucket with those of its other sets that are in other components and may link."""
+    h = hubs.select("sig", F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("hub.rank").alias("ra"), F.col("hub.comp").alias("ca"))
+    met = _side(buckets, "b").join(h, (F.col("sb") == F.col("sig")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def true_links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the candidate pairs (a, b) that link: sketches rule out most others, then whole sets decide. Only
+    documents whose id is in a Bloom filter of the ids still needed become sets and shuffle."""
+    near = materialise(alike(pairs, sketches), "alike")
+    if near.isEmpty():
+        return near
+    ids = materialise(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    bits, found = id_filter(ids, "doc_id")
+    some = docs.withColumn("at", filter_places(F.col("doc_id"), bits)).mapInArrow(_sets(docs.sparkSession.sparkContext.broadcast(found)), "doc_id long, tokens array<long>")
+    sets = materialise(some.join(ids, "doc_id", "left_semi"), "sets", "uncompressed")
+    links = materialise(verified(near, sets).select("a", "b"), "true-links")
+    discard(near, ids, sets)
+    return links
+
+
+def similar_groups(buckets: DataFrame, sketches: DataFrame, docs: DataFrame, small: int = SMALL, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """node, label over all links between sets that share a bucket (see step 3 above).
 
-    buckets: sig, pos, rank, rep, n, comp. Each round compares the hub of each bucket (the smallest id first, often
-    the original; later ones by a hash) with its other sets and takes the hub out. When the pairs left are at most
-    `direct` for each row left, those between different components are joined directly."""
-    spark = buckets.sparkSession
-    links, labels, turn = None, spark.createDataFrame([], "node long, label long"), 0
-    while True:
-        hub = F.min_by(F.struct("rep", "n", "pos", "rank", "comp"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"))
-        sized = materialise(buckets.groupBy("sig").agg(F.count("*").alias("c"), hub.alias("hub")).where("c > 1"), "hubs")
-        total = sized.agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
-        if not total["rows"]:
-            return labels
-        last = turn > 0 and total["pairs"] <= direct * total["rows"]
-        if last:
-            met = _side(buckets, "a").join(_side(buckets, "b"), (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b"))
+    buckets: sig, pos, rank, rep, n, c. The first round takes all pairs of small buckets and the hub of each larger
+    one (the smallest id, often the original), later ones another hub, chosen by a hash, of the buckets whose sets
+    are not yet in one component. After `rounds`, the pairs left between different components are taken in blocks."""
+    buckets = buckets.withColumn("comp", F.col("rep"))
+    few, labels = buckets.where(F.col("c") <= small), None
+    buckets = buckets.where(F.col("c") > small)
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            hub = F.min_by(F.struct("rep", "n", "pos", "rank", "comp"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"))
+            hubs = materialise(buckets.groupBy("sig").agg(hub.alias("hub")), "hubs")
+            pairs = hub_pairs(buckets, hubs)
         else:
-            h = sized.select("sig", F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("hub.rank").alias("ra"), F.col("hub.comp").alias("ca"))
-            met = _side(buckets, "b").join(h, (F.col("sb") == F.col("sig")) & (F.col("ca") != F.col("cb")) & _may_link("a", "b"))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = materialise(verified(materialise(pairs, "candidates"), sets).select("a", "b"), "found")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        if last:
+            pairs = block_pairs(buckets, block)
+        if not turn:
+            pairs = pairs.unionByName(block_pairs(few, max(2, small))).distinct()
+        links = true_links(materialise(pairs, "candidates"), sketches, docs)
+        if labels is None or not links.isEmpty():
+            labels = extended(labels, links)
+        if turn == rounds:
+            return labels
+        rest = buckets.join(hubs.select("sig", F.col("hub.rep").alias("_hub")), "sig").where("rep != _hub").drop("_hub", "comp")
+        rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+        mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("sig", "c")
+        done, buckets = buckets, materialise(rest.drop("c").join(mixed, "sig"), "buckets", "uncompressed")
+        if turn:
+            discard(done)
+        if buckets.isEmpty():
             return labels
-        rest = buckets.join(sized.select("sig", F.col("hub.rep").alias("_hub")), "sig").where("rep != _hub").select("sig", "pos", "rank", "rep", "n")
-        rest = materialise(rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "pos", "rank", "rep", "n", F.coalesce("label", "rep").alias("comp")), "buckets", "uncompressed")
-        mixed = materialise(rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"), "mixed-buckets")
-        buckets, turn = materialise(rest.join(mixed, "sig"), "buckets", "uncompressed"), turn + 1
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_slot_bits: int = MAX_SLOT_BITS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, is_first (it is the row's class that names the component)."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_slot_bits: int = MAX_SLOT_BITS, small: int = SMALL, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    small_batches(spark, 400)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
     slot_bits = min(max_slot_bits, max(12, (int(chars) // 20).bit_length()))
@@ -310,16 +400,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tokens = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     levels = spark.sparkContext.broadcast(slot_levels(census, slot_bits))
     freq = int(level_of(np.array([max(16, 4 * int(tokens) >> slot_bits)]))[0])
-    reps = materialise(rows.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    sig_rows = docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(levels, slot_bits, freq), "rep long, n long, single array<long>, other array<long>, places array<long>, ranks array<long>")
-    sig_rows = materialise(sig_rows.join(reps.select("rep"), "rep", "left_semi"), "signatures", "uncompressed")
-    buckets = materialise(find_buckets(sig_rows).select("sig", "pos", "rank", "rep", "n", F.col("rep").alias("comp")), "buckets", "uncompressed")
-    wanted = materialise(buckets.select(F.col("rep").alias("doc_id")).distinct(), "bucket-members")
-    sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"), "sets", "uncompressed")
-    labels = similar_groups(buckets, sets)
-    classes = materialise(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "classes")
-    out = rows.join(classes, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    first = rows.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    members = materialise(rows.join(first, "fp", "left").select("doc_id", "n", "rep"), "members")
+    # copies need no signatures; a filter of their ids finds them in place, and a join only clears up what it can't tell
+    bits, copies = id_filter(members.where("doc_id != rep"), "doc_id")
+    marked = docs.where("doc_id IS NOT NULL").withColumn("at", filter_places(F.col("doc_id"), bits))
+    signed = materialise(marked.mapInArrow(_signatures(levels, slot_bits, freq, spark.sparkContext.broadcast(copies)), _SIGNATURES), "signatures", "uncompressed")
+    reps = members.where("doc_id = rep").select("rep").distinct()
+    sig_rows = signed.where("NOT copy").unionByName(signed.where("copy").join(reps, "rep", "left_semi"))
+    buckets = materialise(find_buckets(sig_rows), "buckets", "uncompressed")
+    sketches = materialise(sig_rows.select("rep", "n", "sketch"), "sketches", "uncompressed")
+    discard(census, signed)
+    labels = similar_groups(buckets, sketches, docs.where("doc_id IS NOT NULL"), small, rounds, block)
+    discard(buckets, sketches)
+    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import materialise, sliced
 
 LENGTH, GROUP, SEARCH_STEPS = 2048, 20_000, 5_000
 TOKENIZER = "byte_bpe_50k"
@@ -80,7 +80,7 @@ class Encoder:
 def _pieces(paths: tuple[str, str], length: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(paths)
-        for b in batches:
+        for b in sliced(batches, "_text"):
             row, piece, start, size, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(b["_text"].to_pylist()):
                 data = encode(text or "") + b"\0\0\0\0"
@@ -104,7 +104,6 @@ def _pieces(paths: tuple[str, str], length: int, keep_ids: bool):
 
 def tokenise(docs: DataFrame, text: str = "text", length: int = LENGTH, paths: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
     """A row per piece: the other columns of docs, piece, start, length, ids_crc32 and, if asked for, ids."""
-    small_batches(docs.sparkSession, 500)
     rest = [c for c in docs.columns if c not in (text, "piece", "start", "length", "ids_crc32", "ids")]
     df = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias("_text"))
     schema = "".join(f"`{n}` {t}, " for n, t in df.dtypes if n != "_text") + "piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,51 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most this many rows, so that a batch of long texts fits into a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `materialise` wrote and that no frame still to be computed reads."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        folders = {f.rsplit("/", 1)[0] for f in files}
+        for folder in folders:
+            if scratch_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def filter_places(id_: Column, bits: int) -> Column:
+    """The four bits that an id sets in a Bloom filter of this many bits."""
+    return F.array(*[F.pmod(F.xxhash64(id_, F.lit(i)), F.lit(bits)) for i in range(4)])
+
+
+def id_filter(ids: DataFrame, key: str, most: int = 1 << 27) -> tuple[int, np.ndarray]:
+    """A Bloom filter over a column of ids: its number of bits and the bits. It has at most `most` bits (16 MB), so
+    it can be broadcast at any size of the table; beyond 10 million ids it only lets more of the others pass."""
+    bits = min(most, max(1 << 15, 1 << (12 * ids.count()).bit_length()))
+    place = ids.select(F.explode(filter_places(F.col(key), bits)).alias("at"))
+    parts = place.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        start = (r["k"] - 1) * (1 << 12)
+        out[start : start + (1 << 12)] = np.frombuffer(r["map"], np.uint8)
+    return bits, out
+
+
+def in_filter(filter_: np.ndarray, places: pa.Array) -> np.ndarray:
+    """For each row of `filter_places`: are all its bits set?"""
+    at = places.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+    return ((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces of about `most` bytes of one text column (a longer text alone), so what a
+    worker holds beside the batch is bounded by bytes, however long the texts are."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+            yield b.slice(i, j - i)
+            i = j
 
 
 def bounded_sample(df: DataFrame, n: int, key: str) -> DataFrame:

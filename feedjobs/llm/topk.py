@@ -12,7 +12,7 @@ query however many vectors are equal.
 
 Defined results: vectors null, without an id or with a null or non-finite component take no part, neither as
 query nor as candidate; only vectors of the query's length are candidates; rows that share the query's
-vec_id are the query's own; repeated rows are candidates of their own; with fewer than k candidates all are
+vec_id are the query's own, and the smallest of their vectors asks; repeated rows are candidates of their own; with fewer than k candidates all are
 returned. Scores beyond 2^62 are cut there.
 """
 
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import materialise
 
 SCALE, BINS = 64, 256
 BLOCK = 4096
+#: Vectors that meet a block of queries at once: bounds the matrix of scores in a worker.
+ROWS = 1000
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -40,6 +42,10 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+
+
 def _by_length(ids: np.ndarray, rows: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, places, matrix) for each length of the lists in rows."""
     n = np.asarray(rows.value_lengths())
@@ -77,7 +83,7 @@ def _histogram(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value
         counts = np.zeros((len(x.ids), BINS), dtype=np.int64)
-        for b in batches:
+        for b in _chunks(batches):
             for place, _, s, on in x.scores(b):
                 off = s - x.low[place][None, :]
                 on &= (off >= 0) & (off < x.width)
@@ -104,7 +110,7 @@ def _best(shared):
             rank = np.arange(len(q)) - np.searchsorted(q, q)
             return q[rank < x.k], v[rank < x.k], s[rank < x.k]
 
-        for b in batches:
+        for b in _chunks(batches):
             for place, ids, s, on in x.scores(b):
                 i, j = np.nonzero(on & (s >= x.low[place][None, :]))
                 kept.append((place[j].astype(np.int64), ids[i], s[i, j]))
@@ -141,7 +147,6 @@ def _select(vectors: DataFrame, block: Block) -> DataFrame:
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which `queries` holds, its k best other rows."""
     spark = vectors.sparkSession
-    small_batches(spark, 1000)
     usable_rows = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(vector)))
     all_ = usable_rows.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("q"), queries.alias("is_query"))
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
@@ -151,7 +156,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_i
         return empty
     bound = min(1 << 62, int(top["any"] * top["query"]) + 2)
     n_blocks = -(-top["n"] // block)
-    asked = materialise(all_.where("is_query").dropDuplicates(["vec_id"]).select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")), "queries")
+    asked = materialise(all_.where("is_query").groupBy("vec_id").agg(F.min("q").alias("q")).select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")), "queries")
     parts = None
     for i in range(n_blocks):
         rows = asked.where(F.col("block") == i).select("vec_id", "q").toArrow().combine_chunks()

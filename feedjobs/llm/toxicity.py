@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, materialise, small_batches, text_bytes, word_hashes, word_spans
+from .shared import bounded_sample, materialise, sliced, text_bytes, word_hashes, word_spans
 
 TRAIN_ROWS, CALIBRATE_ROWS = 6000, 3000
 WORD_BITS, PREFIX_BITS, PREFIX = 18, 15, 4
@@ -114,8 +114,11 @@ class Model:
         return out, lang
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        z, lang = self.logits(texts)
-        return 1 / (1 + np.exp(-np.clip(z - self.edge[lang], -30, 30).astype(np.float64)))
+        out = [np.zeros(0)]
+        for b in sliced([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
+            z, lang = self.logits(b["text"])
+            out.append(1 / (1 + np.exp(-np.clip(z - self.edge[lang], -30, 30).astype(np.float64))))
+        return np.concatenate(out)
 
     def train(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> None:
         """Adagrad on the logistic loss, both labels weighted alike. Only rows of words at a maximum change."""
@@ -224,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibr
 
 
 def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, "text"):
         for out in _numbers(iter([b])):
             yield pa.RecordBatch.from_arrays([b["doc_id"], *out.columns], ["doc_id", *out.schema.names])
 
@@ -249,7 +252,6 @@ def with_scores(docs: DataFrame, model: Model | None, text: str = "text") -> Dat
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 1000)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     scored = with_scores(docs, fit(docs, labels))

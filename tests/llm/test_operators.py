@@ -195,15 +195,39 @@ def test_near_duplicates(spark, docs, rows, slot_bits):
     assert kept == {c for _, c in want.values()} | {None}
 
 
-def test_hub_rounds_find_every_link(spark, docs, rows):
-    """No direct join: hub rounds alone must end with the same groups."""
-    sets = {i: np.array(sorted(hash(s) for s in shingles(t)), dtype=np.int64) for i, t in rows if i is not None and shingles(t)}
-    ids = [i for i in sets if 20_000 <= i < 20_006]
-    want = brute_components([(i, t) for i, t in rows if i in ids])
-    buckets = spark.createDataFrame([(b, 0, 0, i, len(sets[i]), i) for b in (1, 2) for i in ids], "sig long, pos int, rank int, rep long, n long, comp long")
-    table = spark.createDataFrame([(i, sets[i].tolist()) for i in ids], "doc_id long, tokens array<long>")
-    labels = {r["node"]: r["label"] for r in nearjoin.similar_groups(buckets, table, direct=0).collect()}
-    assert all(labels.get(i, i) == want[i][1] for i in ids)
+@pytest.mark.parametrize(("small", "rounds", "block"), [(2, 30, 1000), (2, 1, 7)])
+def test_every_way_through_large_buckets_finds_the_same_groups(spark, docs, rows, small, rounds, block):
+    """Hubs alone, blocks of few sets after one or two hubs, and direct pairs: the same groups."""
+    got = nearjoin.near_duplicates(docs, max_slot_bits=6, small=small, rounds=rounds, block=block).collect()
+    want = brute_components(rows)
+    assert all(r["component_id"] == (want[r["doc_id"]][1] if r["doc_id"] is not None else None) for r in got)
+
+
+def test_sketches_never_overstate_a_difference():
+    r = np.random.default_rng(4)
+    for n in (1, 3, 63, 64, 65, 300, 1000):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[len(a) // 6 :], r.integers(0, 2**63, n // 9, dtype=np.uint64)]))
+        sa, sb = (nearjoin.sketch_of(x) for x in (a, b))
+        long, short = sorted((sa, sb), key=len, reverse=True)
+        while len(long) > len(short):
+            long = long[: len(long) // 2] ^ long[len(long) // 2 :]
+        assert sum(int(x ^ y).bit_count() % 65 if x ^ y >= 0 else int((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(long.tolist(), short.tolist(), strict=True)) <= len(np.setxor1d(a, b))
+
+
+def test_blocks_hold_each_pair_once(spark):
+    rows = [(1, 0, 0, i, 10, 9) for i in range(9)] + [(2, 0, 0, i, 10, 2) for i in (3, 4)]
+    buckets = spark.createDataFrame(rows, "sig long, pos int, rank int, rep long, n long, c long").withColumn("comp", F.col("rep"))
+    got = [tuple(r) for r in nearjoin.block_pairs(buckets, 2).collect()]
+    assert sorted(got) == [(a, b) for a in range(9) for b in range(a + 1, 9)]
+
+
+def test_a_hot_bucket_is_split(spark):
+    """Ten thousand texts around one: all of them are found without a task that pairs them all."""
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " x"), F.col("id")).alias("text"))
+    got = nearjoin.near_duplicates(docs, max_slot_bits=8)
+    assert got.where("component_id = 0").count() == 10_000
 
 
 def test_signatures_meet_at_the_threshold():
