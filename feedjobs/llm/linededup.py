@@ -5,14 +5,13 @@
    are merged by "twice |= theirs_twice | (once & theirs_once); once |= theirs_once", which never loses a
    hash that two tasks share. Sparse segments travel as lists of bit numbers.
 2. The merged filter of twice-seen hashes (FILTER_BITS / 8 bytes at most, a fixed bound) is broadcast. Lines
-   whose hash is not in it cannot repeat and never shuffle.
+   whose hash is not in it cannot repeat and never shuffle. A corpus with more lines than one filter serves (134
+   million) is scanned in several passes, each for its share of the hashes, so the filter never fills up.
 3. The suspected lines are grouped by their whole key: exact confirmation, and the smallest document id of
    each repeated key. The group-by keeps a minimum and a maximum, so a line that a third of all documents
    hold is combined before the shuffle.
-4. Each document gets the set of its confirmed lines to drop and is rewritten.
-
-A filter that is too small for the corpus lets more lines through to step 3, which stays exact; filter_bits
-is the parameter to raise.
+4. Only documents that lose a line are joined with the set of their lines to drop, and rewritten; a Bloom filter
+   of their ids (16 MB at most) lets all others pass where they are.
 
 Defined results: a null or empty text is one empty line; a line repeated within one document only is kept; in
 the smallest doc_id all lines of a key stay; rows that share a doc_id are one document in the count of
@@ -22,6 +21,7 @@ documents; rows with a null doc_id are kept as they are and do not count.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, materialise, mix, small_batches, strip_spaces
+from .shared import LOWER, SPACES, UPPER, discard, filter_places, id_filter, in_filter, lower_ascii, materialise, mix, strip_spaces
 
 MIN_CHARS = 10
-#: Bits of one filter: at least 2^20, 16 per line, at most FILTER_BITS (32 MB).
-BITS_PER_LINE, FILTER_BITS, HASHES = 16, 1 << 28, 4
+#: Bits of one filter: at least 2^20, 8 to 16 per line, at most FILTER_BITS (128 MB).
+BITS_PER_LINE, FILTER_BITS, HASHES = 8, 1 << 30, 4
 _SEGMENT = 1 << 16
 
 
@@ -116,8 +116,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int32()), pa.array([t.tobytes() for _, t in state.values()], pa.binary())], ["segment", "twice"])
 
 
-def filter_size(n_lines: int, most: int = FILTER_BITS) -> int:
-    return int(min(most, max(1 << 20, 1 << (max(1, n_lines * BITS_PER_LINE) - 1).bit_length())))
+def filter_size(n_lines: int, most: int = FILTER_BITS) -> tuple[int, int]:
+    """Bits of a filter, and the number of passes that share all hashes out so that each pass fits into it."""
+    wanted = n_lines * BITS_PER_LINE
+    return min(most, max(1 << 20, 1 << (wanted - 1).bit_length())), max(1, -(-wanted // most))
 
 
 def twice_filter(keyed: DataFrame, bits: int) -> np.ndarray:
@@ -130,19 +132,12 @@ def twice_filter(keyed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """docs with `text` without repeated lines, and _n_lines, _n_dropped (long)."""
-    spark = docs.sparkSession
-    small_batches(spark, 4000)
-    n_lines = docs.agg(F.sum(F.size(lines_of(F.col(text)))).alias("n")).first()["n"] or 0
-    bits = filter_size(n_lines, filter_bits)
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars))
-    keyed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), keys.alias("keys"))
-    keyed = keyed.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
-    shared = spark.sparkContext.broadcast(twice_filter(keyed, bits))
+def suspected_lines(keyed: DataFrame, bits: int) -> DataFrame:
+    """keyed (_id, keys, hashes) -> _id, key for the keys whose hash two rows may share."""
+    shared = keyed.sparkSession.sparkContext.broadcast(twice_filter(keyed, bits))
 
     @F.pandas_udf("array<int>")
-    def suspected(hashes: pd.Series) -> pd.Series:
+    def places(hashes: pd.Series) -> pd.Series:
         """Places (from 1) of the hashes that the twice filter has."""
         n = hashes.map(len).to_numpy()
         flat = np.concatenate([np.zeros(0, np.int64), *hashes])
@@ -151,20 +146,54 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         where = np.searchsorted(hit, np.concatenate([[0], ends]))
         return pd.Series([hit[a:b] - start + 1 for a, b, start in zip(where[:-1], where[1:], ends - n, strict=True)])
 
-    sus = keyed.withColumn("at", suspected("hashes")).where(F.size("at") > 0)
-    sus = materialise(sus.select("_id", F.explode("at").alias("at"), "keys").select("_id", F.element_at("keys", F.col("at")).alias("key")), "suspected-lines")
+    at = keyed.withColumn("at", places("hashes")).where(F.size("at") > 0)
+    return at.select("_id", F.explode(F.transform("at", lambda i: F.element_at("keys", i))).alias("key"))
+
+
+def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+    """Texts without the lines whose keys are in drops, and the numbers of those lines."""
+    table = str.maketrans(UPPER, LOWER)
+
+    def kept(text: str | None, drop) -> tuple[str, int]:
+        lines, gone = (text or "").split("\n"), set(() if drop is None else drop)
+        rest = [x for x in lines if x.strip(SPACES).translate(table) not in gone] if gone else lines
+        return "\n".join(rest), len(lines) - len(rest)
+
+    return pd.DataFrame([kept(t, d) for t, d in zip(texts, drops, strict=True)], columns=["text", "dropped"])
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """docs with `text` without repeated lines, and _n_lines, _n_dropped (long)."""
+    spark = docs.sparkSession
+    n_lines = docs.agg(F.sum(F.size(lines_of(F.col(text)))).alias("n")).first()["n"] or 0
+    bits, passes = filter_size(n_lines, filter_bits)
+    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars))
+    keyed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), keys.alias("keys"))
+    suspects = []
+    for i in range(passes):
+        turn = F.lit(i)
+        part = keyed if passes == 1 else keyed.withColumn("keys", F.filter("keys", lambda k: F.pmod(F.xxhash64(k, F.lit(1)), F.lit(passes)) == turn))  # noqa: B023
+        part = part.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
+        suspects.append(materialise(suspected_lines(part, bits), "suspected-lines"))
+    sus = reduce(DataFrame.unionByName, suspects)
     repeated = sus.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("key", "first")
     repeated = materialise(repeated, "repeated-lines")
-    drops = sus.join(repeated, "key").where("_id > first").groupBy("_id").agg(F.collect_set(F.xxhash64("key")).alias("_drop"))
-    joined = docs.join(drops, F.col(doc_id) == F.col("_id"), "left")
-    lines = lines_of(F.col(text))
-    kept = F.filter("_lines", lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains("_drop", F.xxhash64(line_key(x)))))
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
-        .withColumns({"_n_lines": F.size("_lines").cast("long"), "_n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), text: F.array_join("_kept", "\n")})
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "_n_lines", "_n_dropped")
-    )
+    drops = materialise(sus.join(repeated, "key").where("_id > first").groupBy("_id").agg(F.collect_set("key").alias("_drop")), "dropped-lines")
+    discard(*suspects, repeated)
+    # documents without a line to drop stay where they are; a filter of the other ids tells them apart
+    id_bits, ids = id_filter(drops, "_id")
+    shared = spark.sparkContext.broadcast(ids)
+
+    @F.pandas_udf("boolean")
+    def listed(places: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(shared.value, pa.array(places)))
+
+    marked = docs.withColumn("_n_lines", F.size(lines_of(F.col(text))).cast("long")).withColumn("_listed", listed(filter_places(F.col(doc_id), id_bits)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    plain = marked.where("NOT _listed").withColumn(text, F.coalesce(F.col(text), F.lit(""))).select(*names, "_n_lines", F.lit(0).cast("long").alias("_n_dropped"))
+    cut = marked.where("_listed").join(drops, F.col(doc_id) == F.col("_id"), "left").withColumn("_cut", F.pandas_udf(_without, "text string, dropped long")(F.col(text), F.col("_drop")))
+    cut = cut.withColumns({text: F.col("_cut.text"), "_n_dropped": F.col("_cut.dropped")}).select(*names, "_n_lines", "_n_dropped")
+    return plain.unionByName(cut)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def empty(spark, schema="doc_id long, text string, source string"):
 # ------------------------------------------------------------------ 1 line dedup
 
 
-def test_line_dedup(spark, docs, rows):
+def test_line_dedup(spark, docs, rows, monkeypatch):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     holders = defaultdict(set)
     for i, t in rows:
@@ -68,13 +68,23 @@ def test_line_dedup(spark, docs, rows):
     for i, t in rows:
         kept = [x for x in (t or "").split("\n") if i is None or len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == i]
         want[i, "\n".join(kept)] += 1
-    for bits in (linededup.FILTER_BITS, 1 << 16):  # also with a filter far too small
+    for bits, per_line in ((linededup.FILTER_BITS, 8), (1 << 16, 1), (1 << 16, 100)):  # also far too small, and in several passes
+        monkeypatch.setattr(linededup, "BITS_PER_LINE", per_line)
         got = linededup.dedup_lines(docs, filter_bits=bits)
         assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
     assert set(docs.columns) < set(got.columns)
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_only_documents_that_lose_a_line_shuffle(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 100 == 1, F.lit("a line of many documents\n")).otherwise(F.lit("")), F.lit("a text of its own, no. "), F.col("id")).alias("text"))
+    got = linededup.dedup_lines(docs)
+    assert got.where("_n_dropped = 1").select("doc_id").toPandas()["doc_id"].tolist() == [101, 201] and got.count() == 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    texts = [x for x in plan.split("\n") if "Exchange" in x and "text" in x]
+    assert plan.count("Union") and len(texts) <= 1
+
+
 def test_bloom_filters_lose_nothing():
     h = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
     bits = 1 << 17
