@@ -5,10 +5,11 @@ pieces but the first fill a sequence of their own. The other pieces are dealt to
 pieces by a hash; each group is packed by itself in one task (so memory is bounded and a lost task repeats
 the same packing), and a group wastes at most part of a sequence more than one packing of everything would.
 
-Packing a group: best fit in order of decreasing length, then local search over the bins that are not full.
-Moves of one piece, exchanges one for one and two for one between two bins are made where they raise the
-sum of the squared fills; emptied bins go away. Each such step moves load from a less full to a fuller bin,
-so the search ends; SEARCH_STEPS bounds the steps that a group may take.
+Packing a group: best fit in a random order, then swap-based local search over the bins that are not full. The
+least full bin gives its pieces away: a piece moves to a bin with room, or takes the place of one or two shorter
+pieces there, whichever raises the sum of the squared fills most. All open bins are looked at in each step. A bin
+without a step waits until another bin is emptied. The search ends within one bin of what the sum of the lengths
+allows, when no bin has a step left, or after STEPS steps for each piece of the group. Groups are drawn by a number of the row, so equal rows spread.
 
 Defined results: a null text is empty and yields the closing id alone; equal rows are packed as documents of
 their own; an empty table gives an empty result; other columns pass through `tokenise`.
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, sliced
 
-LENGTH, GROUP, SEARCH_STEPS = 2048, 20_000, 5_000
+LENGTH, GROUP, STEPS = 2048, 10_000, 2
 TOKENIZER = "byte_bpe_50k"
-_CACHE = 200_000
+#: Words that an encoder remembers, and their longest length.
+_CACHE, _CACHED_CHARS = 200_000, 64
 _ODD_BLANK = re.compile(r" (?:(?<=\s\s)|\s)")
 
 
@@ -66,7 +68,7 @@ class Encoder:
 
     def word(self, w: str) -> bytes:
         found = np.array(self.words.encode_ordinary(w), "<u4").tobytes()
-        if len(self.cache) < _CACHE:
+        if len(self.cache) < _CACHE and len(w) <= _CACHED_CHARS:
             self.cache[w] = found
         return found
 
@@ -111,80 +113,144 @@ def tokenise(docs: DataFrame, text: str = "text", length: int = LENGTH, paths: t
 
 
 def best_fit(lengths: list[int], room: int) -> list[list[int]]:
-    """Bins as lists of indexes: longest first, each to the fullest bin that has room for it."""
+    """Bins as lists of indexes: in the order given, each to the fullest bin that has room for it."""
     bins: list[list[int]] = []
     spare: list[tuple[int, int]] = []  # (free tokens, bin), sorted
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        at = bisect_left(spare, (lengths[i], -1))
+    for i, n in enumerate(lengths):
+        at = bisect_left(spare, (n, -1))
         if at < len(spare):
             free, b = spare.pop(at)
         else:
             free, b = room, len(bins)
             bins.append([])
         bins[b].append(i)
-        if free > lengths[i]:
-            insort(spare, (free - lengths[i], b))
+        if free > n:
+            insort(spare, (free - n, b))
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], room: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
-    """Empties the least full bins into the other bins that are not full, step by step.
-
-    The source is the least full bin left. Its pieces, longest first, look for the step that raises the
-    sum of squared fills most: move into a bin with room, or take the place of one or two shorter pieces
-    of a fuller bin, whose pieces come back. A source for which no step is left is put aside.
-    """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < room), key=lambda b: (fill[b], b))
-    while len(open_) > 1 and steps > 0:
-        src, others = open_[0], [b for b in open_[1:] if bins[b]][-200:]  # fuller bins gain most
-        best = None
-        for i in sorted(bins[src], key=lambda i: -lengths[i]):
-            for dst in others:
-                free = room - fill[dst]
-                back: list[int] = []
-                if lengths[i] > free:
-                    need = lengths[i] - free
-                    fits = sorted((j for j in bins[dst] if lengths[j] < lengths[i]), key=lambda j: lengths[j])
-                    one = next((j for j in fits if lengths[j] >= need), None)
-                    pair = next(((j, k) for n, j in enumerate(fits) for k in fits[n + 1 :] if need <= lengths[j] + lengths[k] < lengths[i]), None)
-                    options = [x for x in ([one] if one is not None else None, list(pair) if pair else None) if x]
-                    if not options:
-                        continue
-                    back = min(options, key=lambda x: sum(lengths[j] for j in x))
-                moved = lengths[i] - sum(lengths[j] for j in back)
-                gain = (fill[dst] + moved) ** 2 - fill[dst] ** 2 + (fill[src] - moved) ** 2 - fill[src] ** 2
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, i, dst, back, moved)
-        steps -= 1
-        if best is None:
-            open_.pop(0)
-            continue
-        _, i, dst, back, moved = best
-        bins[src] = [j for j in bins[src] if j != i] + back
-        bins[dst] = [j for j in bins[dst] if j not in back] + [i]
-        fill[src] -= moved
-        fill[dst] += moved
-        open_ = sorted((b for b in open_ if bins[b] and fill[b] < room), key=lambda b: (fill[b], b))
-    return [b for b in bins if b]
-
-
-def pack_lengths(lengths: list[int], room: int = LENGTH, steps: int = SEARCH_STEPS) -> list[list[int]]:
-    return local_search(best_fit(lengths, room), lengths, room, steps)
+class LocalSearch:
+    """Bins and the steps between those that are not full. Every step raises the sum of the squared fills, so the
+    search ends; it stops early once no packing can have fewer bins."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], room: int):
+        self.room, self.length = room, np.asarray(lengths, np.int64)
+        self.bins = [list(b) for b in bins]
+        self.bin = np.zeros(len(lengths), np.int64)
+        for k, b in enumerate(bins):
+            self.bin[b] = k
+        self.fill = np.array([self.length[b].sum() for b in bins], np.int64)
+        self.least = -(-int(self.length.sum()) // room)
+        self._pairs: list[np.ndarray] | None = None
+        self._changed: set[int] = set()
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Open bins and the pieces in them. Bins only leave in between, so both lists stay supersets."""
+        self.open = np.flatnonzero((self.fill > 0) & (self.fill < self.room))
+        self.pieces = np.flatnonzero(self.fill[self.bin] < self.room)
+
+    def _gain(self, src: int, dst: np.ndarray, moved: np.ndarray) -> np.ndarray:
+        """What the sum of squares gains when `moved` tokens more go from src to dst than come back; -1 if they can't."""
+        f = self.fill[dst]
+        return np.where((moved > 0) & (moved <= self.room - f) & (dst != src) & (f > 0), 2 * moved * (f - self.fill[src] + moved), -1)
+
+    def _best(self, src: int, dst: np.ndarray, moved: np.ndarray) -> tuple[int, int]:
+        if not len(dst):
+            return -1, -1
+        gain = self._gain(src, dst, moved)
+        at = int(gain.argmax())
+        return int(gain[at]), at
+
+    def _pairs_of(self, bins: list[int]) -> list[np.ndarray]:
+        """Any two pieces of a bin: both indexes, their bin."""
+        found = []
+        for k in bins:
+            b = np.array(self.bins[k], np.int64)
+            i, j = np.triu_indices(len(b), 1)
+            found.append((b[i], b[j], np.full(len(i), k)))
+        return [np.concatenate([x[n] for x in found] or [np.zeros(0, np.int64)]) for n in range(3)]
+
+    def _all_pairs(self) -> list[np.ndarray]:
+        """Pairs of all open bins. The pairs of bins that have changed are made anew, those of all bins only now and then."""
+        if self._pairs is None or len(self._changed) > 50:
+            self._pairs, self._changed = self._pairs_of(self.open.tolist()), set()
+        if not self._changed:
+            return self._pairs
+        keep = ~np.isin(self._pairs[2], list(self._changed))
+        fresh = self._pairs_of([k for k in self._changed if 0 < self.fill[k] < self.room])
+        self._pairs = [np.concatenate([x[keep], y]) for x, y in zip(self._pairs, fresh, strict=True)]
+        self._changed = set()
+        return self._pairs
+
+    def step(self, src: int) -> bool:
+        """The best step for the longest piece of src that has one: a move, one for one, or two for one."""
+        done: set[int] = set()
+        for i in sorted(self.bins[src], key=lambda i: -self.length[i]):
+            n = int(self.length[i])
+            if n in done:
+                continue
+            done.add(n)
+            move, m = self._best(src, self.open, np.full(len(self.open), n))
+            one, o = self._best(src, self.bin[self.pieces], n - self.length[self.pieces])
+            best, dst, back = max((move, int(self.open[m]), ()), (one, int(self.bin[self.pieces[o]]), (int(self.pieces[o]),)))
+            if best <= 0:
+                a, b, at = self._all_pairs()
+                two, t = self._best(src, at, n - self.length[a] - self.length[b])
+                if two > 0:
+                    best, dst, back = two, int(at[t]), (int(a[t]), int(b[t]))
+            if best > 0:
+                self._exchange(src, dst, i, back)
+                return True
+        return False
+
+    def _exchange(self, src: int, dst: int, i: int, back: tuple[int, ...]) -> None:
+        self.bins[src].remove(i)
+        self.bins[dst].append(i)
+        self.bin[i] = dst
+        for j in back:
+            self.bins[dst].remove(j)
+            self.bins[src].append(j)
+            self.bin[j] = src
+        moved = self.length[i] - self.length[list(back)].sum()
+        self.fill[src] -= moved
+        self.fill[dst] += moved
+        self._changed |= {src, dst}
+        if self.fill[dst] == self.room or not self.bins[src]:
+            self._refresh()
+
+    def run(self, goal: int = 1) -> list[list[int]]:
+        """The least full bin gives its pieces away until it is empty; one without a step waits until another is emptied."""
+        used, stuck, left = int((self.fill > 0).sum()), np.zeros(len(self.bins), bool), STEPS * len(self.length)
+        while used > self.least + goal and left > 0:
+            waiting = self.open[~stuck[self.open]]
+            if not len(waiting):
+                break
+            src = int(waiting[self.fill[waiting].argmin()])
+            while self.bins[src] and left > 0 and self.step(src):
+                left -= 1
+            stuck[src] = True
+            if not self.bins[src]:
+                used -= 1
+                stuck[:] = False
+        return [b for b in self.bins if b]
+
+
+def pack_lengths(lengths: list[int], room: int = LENGTH) -> list[list[int]]:
+    return LocalSearch(best_fit(lengths, room), lengths, room).run()
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, label: str = "pieces") -> DataFrame:
     """pieces (length, ids_crc32, piece, any others) with sequence_id and offset. Pieces that fill a
     sequence get one of their own without being gathered."""
     pieces = materialise(pieces, label)
+    salt = F.xxhash64(F.monotonically_increasing_id())
     n = pieces.where(F.col("length") < length).count()
     groups = max(1, -(-n // group))
-    cols = pieces.columns
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in cols if c != "ids"])
     full = pieces.where(F.col("length") >= length).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("_key", kind="stable").reset_index(drop=True)
         sizes = pdf["length"].tolist()
         seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         for s, b in enumerate(pack_lengths(sizes, length)):
@@ -194,7 +260,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, label: str
                 at += sizes[i]
         return pdf.assign(sequence_id=pdf["_group"] * (1 << 32) + seq, offset=off).drop(columns=["_group", "_key"])
 
-    rest = pieces.where(F.col("length") < length).withColumn("_key", key).withColumn("_group", F.pmod("_key", F.lit(groups)))
+    rest = pieces.where(F.col("length") < length).withColumn("_key", salt).withColumn("_group", F.pmod("_key", F.lit(groups)))
     schema = "".join(f"`{a}` {t}, " for a, t in pieces.dtypes) + "sequence_id long, offset long"
     return rest.groupBy("_group").applyInPandas(run, schema).unionByName(full)
 

@@ -389,16 +389,34 @@ def test_packing(spark, docs, rows):
     assert packing.pack(packing.tokenise(empty(spark))).count() == 0
 
 
+def test_equal_rows_spread_over_groups(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 1, 5)] * 400, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, length=10, group=20).toPandas()
+    assert got["sequence_id"].nunique() <= 60 and (got["sequence_id"] // (1 << 32)).nunique() >= 15
+
+
 def test_local_search_saves_bins():
     r = random.Random(8)
     for _ in range(20):
         lengths = [r.randint(1, 100) for _ in range(r.randint(1, 60))]
-        start = [[i] for i in range(len(lengths))]
-        bins = packing.local_search(start, lengths, 100)
+        bins = packing.LocalSearch([[i] for i in range(len(lengths))], lengths, 100).run(goal=0)
         assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
         assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
-        assert len(bins) <= len(packing.best_fit(lengths, 100)) + 2
-    assert len(packing.local_search([[0, 1], [2, 3], [4]], [60, 30, 50, 45, 10], 100)) == 2
+        assert len(bins) <= len(packing.best_fit(lengths, 100)) + 1
+    assert len(packing.LocalSearch([[0, 1], [2, 3], [4]], [60, 30, 50, 45, 10], 100).run(goal=0)) == 2
+    # one for one, then two for one, is the only way to two full bins
+    assert len(packing.LocalSearch([[0, 1], [2, 3, 4], [5]], [60, 30, 50, 25, 15, 20], 100).run(goal=0)) == 2
+
+
+def test_local_search_empties_what_best_fit_leaves():
+    """On lengths of documents the search ends within one bin of the bound; best fit alone does not."""
+    import duckdb
+
+    words = duckdb.sql("SELECT length(coalesce(text, '')) FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchnumpy().popitem()[1]
+    lengths = [x for x in ((words // 4) % 2048).tolist() if x]
+    bound, before = -(-sum(lengths) // 2048), packing.best_fit(lengths, 2048)
+    after = packing.LocalSearch(before, lengths, 2048).run()
+    assert len(after) <= bound + 1 < len(before)
 
 
 def test_encoder_equals_the_tokenizer():
