@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tokens = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     levels = spark.sparkContext.broadcast(slot_levels(census, slot_bits))
     freq = int(level_of(np.array([max(16, 4 * int(tokens) >> slot_bits)]))[0])
-    first = rows.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    first = materialise(rows.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
     members = materialise(rows.join(first, "fp", "left").select("doc_id", "n", "rep"), "members")
     # copies need no signatures; a filter of their ids finds them in place, and a join only clears up what it can't tell
     bits, copies = id_filter(members.where("doc_id != rep"), "doc_id")
@@ -410,7 +410,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sig_rows = signed.where("NOT copy").unionByName(signed.where("copy").join(reps, "rep", "left_semi"))
     buckets = materialise(find_buckets(sig_rows), "buckets", "uncompressed")
     sketches = materialise(sig_rows.select("rep", "n", "sketch"), "sketches", "uncompressed")
-    discard(census, signed)
+    discard(census, first, signed)
     labels = similar_groups(buckets, sketches, docs.where("doc_id IS NOT NULL"), small, rounds, block)
     discard(buckets, sketches)
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
