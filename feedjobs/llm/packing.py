@@ -22,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, sliced
 
-LENGTH, GROUP, STEPS = 2048, 10_000, 2
+LENGTH, GROUP, STEPS = 2048, 5_000, 2
 TOKENIZER = "byte_bpe_50k"
 #: Words that an encoder remembers, and their longest length.
 _CACHE, _CACHED_CHARS = 200_000, 64
@@ -129,6 +130,11 @@ def best_fit(lengths: list[int], room: int) -> list[list[int]]:
     return bins
 
 
+@lru_cache(256)
+def _two_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 class LocalSearch:
     """Bins and the steps between those that are not full. Every step raises the sum of the squared fills, so the
     search ends; it stops early once no packing can have fewer bins."""
@@ -141,6 +147,7 @@ class LocalSearch:
             self.bin[b] = k
         self.fill = np.array([self.length[b].sum() for b in bins], np.int64)
         self.least = -(-int(self.length.sum()) // room)
+        self.pieces = np.argsort(self.length, kind="stable")
         self._pairs: list[np.ndarray] | None = None
         self._changed: set[int] = set()
         self._refresh()
@@ -148,7 +155,8 @@ class LocalSearch:
     def _refresh(self) -> None:
         """Open bins and the pieces in them. Bins only leave in between, so both lists stay supersets."""
         self.open = np.flatnonzero((self.fill > 0) & (self.fill < self.room))
-        self.pieces = np.flatnonzero(self.fill[self.bin] < self.room)
+        self.pieces = self.pieces[self.fill[self.bin[self.pieces]] < self.room]
+        self.lengths = self.length[self.pieces]
 
     def _gain(self, src: int, dst: np.ndarray, moved: np.ndarray) -> np.ndarray:
         """What the sum of squares gains when `moved` tokens more go from src to dst than come back; -1 if they can't."""
@@ -167,7 +175,7 @@ class LocalSearch:
         found = []
         for k in bins:
             b = np.array(self.bins[k], np.int64)
-            i, j = np.triu_indices(len(b), 1)
+            i, j = _two_of(len(b))
             found.append((b[i], b[j], np.full(len(i), k)))
         return [np.concatenate([x[n] for x in found] or [np.zeros(0, np.int64)]) for n in range(3)]
 
@@ -183,6 +191,10 @@ class LocalSearch:
         self._changed = set()
         return self._pairs
 
+    def most_room(self, src: int) -> int:
+        fill = self.fill[self.open]
+        return self.room - int(fill[(self.open != src) & (fill > 0)].min(initial=self.room))
+
     def step(self, src: int) -> bool:
         """The best step for the longest piece of src that has one: a move, one for one, or two for one."""
         done: set[int] = set()
@@ -192,7 +204,10 @@ class LocalSearch:
                 continue
             done.add(n)
             move, m = self._best(src, self.open, np.full(len(self.open), n))
-            one, o = self._best(src, self.bin[self.pieces], n - self.length[self.pieces])
+            # a shorter piece that comes back lacks at most the room of the emptiest other bin
+            low, high = np.searchsorted(self.lengths, (n - self.most_room(src), n))
+            one, o = self._best(src, self.bin[self.pieces[low:high]], n - self.lengths[low:high])
+            o += low
             best, dst, back = max((move, int(self.open[m]), ()), (one, int(self.bin[self.pieces[o]]), (int(self.pieces[o]),)))
             if best <= 0:
                 a, b, at = self._all_pairs()
