@@ -51,7 +51,7 @@ K = 5
 NUM, DEN, LACK = 4, 5, 5
 MAX_SLOT_BITS = 24
 #: Buckets of at most SMALL sets are joined directly; larger ones go through ROUNDS of hubs, then in blocks of BLOCK sets.
-SMALL, ROUNDS, BLOCK = 32, 2, 1000
+SMALL, ROUNDS, BLOCK = 4, 2, 1000
 #: Levels are counts up to this, then 8 steps for each doubling.
 _EXACT = 64
 _SEGMENT = 1 << 16
