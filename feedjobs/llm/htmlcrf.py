@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from .shared import bounded_sample, sliced
 
 SAMPLE, TRAIN_PAGES, EPOCHS = 120, 400, 25
-#: Training pages are laid out with the first words of the sampled blocks; extraction always reads whole pages.
-MATERIAL_WORDS = 80
 
 # Tags by their role.
 BLOCK_TAGS = frozenset(
@@ -155,7 +153,7 @@ def features(blocks: list[LeafBlock]) -> list[list[str]]:
         f += [f"near={w}" for w in near]
         container = next((t for t in reversed(b.path) if t in ("article", "main", "aside", "nav", "footer", "header", "form", "section", "head")), "")
         f += [f"container={container}", f"end={'p' if b.text[-1] in '.!?…:;' else 'w'}", f"place={min(3, 4 * i // len(blocks))}", "first" if i == 0 else "later"]
-        if _LEGAL.search(b.text[:200]):
+        if _LEGAL.search(b.text):
             f.append("legal")
         if i + 1 == len(blocks):
             f.append("last")
@@ -255,8 +253,15 @@ def training_page(r: random.Random, texts: list[str]) -> tuple[str, list[int]]:
     """A page in a random structure, and the label of each of its leaf blocks in page order. texts: short texts."""
     parts: list[tuple[str, int]] = []  # html, label of its blocks
 
+    def word() -> str:
+        """The word at a random place of a random text."""
+        text = r.choice(texts)
+        start = text.rfind(" ", 0, r.randrange(len(text))) + 1
+        end = text.find(" ", start)
+        return text[start:] if end < 0 else text[start:end]
+
     def words(n: int) -> list[str]:
-        return [r.choice(r.choice(texts).split()).strip("<>&\"'") or "x" for _ in range(n)]
+        return [word().strip("<>&\"'") or "x" for _ in range(n)]
 
     def sentence() -> str:
         return entities.escape(" ".join(words(r.randint(4, 14))).capitalize() + r.choice((".", ".", "", "!")))
@@ -328,7 +333,7 @@ def training_page(r: random.Random, texts: list[str]) -> tuple[str, list[int]]:
 
 def fit(texts: list[str], pages: int = TRAIN_PAGES, seed: int = 11) -> Field:
     r, field, made = random.Random(seed), Field(), []
-    texts = [" ".join(t.split()[:MATERIAL_WORDS]) for t in texts if t.strip()] or ["A line of text.", "Another line of text, which is longer than the first one."]
+    texts = [t for t in texts if t.strip()] or ["A line of text.", "Another line of text, which is longer than the first one."]
     for _ in range(pages):
         page, labels = training_page(r, texts)
         made.append((features(leaf_blocks(page)), labels))

@@ -10,7 +10,7 @@ moved so that 0.5 is the threshold. The language is guessed from function words
 The table of labels, lang, source and doc_id are no inputs of a score. Rows with crc32(doc_id) mod 5 = 0 are
 held out from training and calibration.
 
-Defined results: a null or empty text gets the score of a text without known words; texts are scored row by row,
+Defined results: of texts that share a labelled doc_id the smallest is the one learned; a null or empty text gets the score of a text without known words; texts are scored row by row,
 so repeated rows get equal scores; without labels of both kinds all scores are 0.
 """
 
@@ -208,9 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibr
     sample = first("fold != 1 AND toxic = 1", train_rows // 2).unionByName(first("fold != 1 AND toxic = 0", train_rows - train_rows // 2)).withColumn("calibrate", F.lit(False))
     sample = sample.unionByName(first("fold = 1", calibrate_rows).withColumn("calibrate", F.lit(True)))
     sample = materialise(sample.select(F.col("doc_id").alias("_id"), "toxic", "calibrate"), "labelled-sample")  # bounded by both parameters
-    texts = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "calibrate")
+    texts = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("calibrate").alias("calibrate"))
     rows = texts.mapInArrow(lambda it: _with_id(it), "doc_id long, toxic int, calibrate boolean, words binary, prefixes binary, lang int").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
+    rows = rows.sort_values("doc_id", kind="stable")
     train, check = rows[~rows["calibrate"]], rows[rows["calibrate"]]
     if train["toxic"].nunique() < 2:
         return None

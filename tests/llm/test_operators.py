@@ -404,8 +404,9 @@ def test_local_search_saves_bins():
         assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
         assert len(bins) <= len(packing.best_fit(lengths, 100)) + 1
     assert len(packing.LocalSearch([[0, 1], [2, 3], [4]], [60, 30, 50, 45, 10], 100).run(goal=0)) == 2
-    # one for one, then two for one, is the only way to two full bins
-    assert len(packing.LocalSearch([[0, 1], [2, 3, 4], [5]], [60, 30, 50, 25, 15, 20], 100).run(goal=0)) == 2
+    # 15 can only come in for the pair 5 and 7, so two for one comes first
+    search = packing.LocalSearch([[0, 1, 2], [3]], [85, 5, 7, 15], 100)
+    assert search.step(1) and search.fill.tolist() == [100, 12]
 
 
 def test_local_search_empties_what_best_fit_leaves():
