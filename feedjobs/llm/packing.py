@@ -130,7 +130,7 @@ def best_fit(lengths: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-@lru_cache(256)
+@lru_cache(64)
 def _two_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
@@ -175,7 +175,7 @@ class LocalSearch:
         found = []
         for k in bins:
             b = np.array(self.bins[k], np.int64)
-            i, j = _two_of(len(b))
+            i, j = _two_of(len(b)) if len(b) <= 64 else np.triu_indices(len(b), 1)
             found.append((b[i], b[j], np.full(len(i), k)))
         return [np.concatenate([x[n] for x in found] or [np.zeros(0, np.int64)]) for n in range(3)]
 
