@@ -1,9 +1,11 @@
 """Dates in free text: publication dates, deadlines and event ranges.
 
-Loose dates of feeds are parsed by built-in functions. Deadlines and ranges need many patterns and a choice
-among their matches, so they go to Arrow-batched helpers, behind a built-in test that few pages pass.
-Decisions: a day after a month is not followed by another digit; month names end at a letter boundary; a day
-that a month doesn't have is no date; a range over new year starts in the year before.
+Loose dates of feeds are parsed by built-in functions. Deadlines and ranges of free text are read by a small
+grammar: a text becomes tokens (numbers, months, marks), `_point` reads one date from some place on, with
+whatever of day, month and year stands there, and a range is two points with a joining word or dash between
+them, each completed from the other. It runs in Arrow-batched helpers, behind a built-in test that few pages
+pass. Decisions: a number is a whole run of digits; month names are whole words; a day that a month doesn't have
+is no date; a range over new year starts in the year before.
 """
 
 from __future__ import annotations
@@ -12,17 +14,27 @@ import json
 import re
 from collections.abc import Iterator
 from datetime import UTC, date, datetime, time, timedelta
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Month names, English and German.
-MONTH_NAMES = (
-    "jan january januar", "feb february februar", "mar march märz maerz", "apr april", "may mai", "jun june juni",
-    "jul july juli", "aug august", "sep sept september", "oct october oktober okt", "nov november", "dec december dezember dez",
-)
-MONTHS = {name: i + 1 for i, names in enumerate(MONTH_NAMES) for name in names.split()}
+MONTHS = {
+    "jan": 1, "january": 1, "januar": 1,
+    "feb": 2, "february": 2, "februar": 2,
+    "mar": 3, "march": 3, "märz": 3, "maerz": 3,
+    "apr": 4, "april": 4,
+    "may": 5, "mai": 5,
+    "jun": 6, "june": 6, "juni": 6,
+    "jul": 7, "july": 7, "juli": 7,
+    "aug": 8, "august": 8,
+    "sep": 9, "sept": 9, "september": 9,
+    "oct": 10, "october": 10, "oktober": 10, "okt": 10,
+    "nov": 11, "november": 11,
+    "dec": 12, "december": 12, "dezember": 12, "dez": 12,
+}
 # What stands before a closing date.
 DEADLINE_WORDS = (
     r"deadline|closing date|closes|apply by|apply until|application (?:period|window|due)|applications? (?:close|are open until)|"
@@ -30,44 +42,135 @@ DEADLINE_WORDS = (
 )
 REACH = 90
 
-_MON = "(?P<{0}>" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")(?![^\W\d_])"
-_m = lambda name="m": _MON.format(name)
-_d = lambda name="d": rf"(?P<{name}>\d{{1,2}})"
-_ORD = r"(?:st|nd|rd|th)?"
-_TO = r"\s*(?:–|—|-|to|until|bis)\s*"
-_Y = r",?\s*(?P<y>20\d{2})"
-_compile = lambda p: re.compile(p, re.IGNORECASE)
-
-#: Patterns of single dates, in the order in which their matches are listed.
-_SINGLE = tuple(
-    map(
-        _compile,
-        (
-            rf"\b{_d()}\.(?P<mn>\d{{1,2}})\.(?P<y>\d{{4}})\b",
-            rf"\b(?P<y>20\d{{2}})-(?P<mn>\d{{2}})-(?P<d>\d{{2}})\b",
-            rf"\b{_d()}{_ORD}\.?\s+(?:of\s+)?{_m()}\.?(?:{_Y})?",
-            rf"\b{_m()}\.?\s+{_d()}(?!\d){_ORD}(?:{_Y})?",
-        ),
-    )
-)
-#: Patterns of event ranges; missing parts of the end are those of the start and the other way round.
-_RANGE = tuple(
-    map(
-        _compile,
-        (
-            rf"\b{_d()}{_ORD}\.?{_TO}{_d('d2')}{_ORD}\.?\s+(?:of\s+)?{_m('m2')}\.?{_Y}",
-            rf"\b{_d()}{_ORD}\.?\s+{_m()}\.?{_TO}{_d('d2')}{_ORD}\.?\s+{_m('m2')}\.?{_Y}",
-            rf"\b{_m()}\.?\s+{_d()}{_ORD}\.?{_TO}{_d('d2')}(?!\d){_ORD}\.?{_Y}",
-            rf"\b{_m()}\.?\s+{_d()}{_ORD}\.?{_TO}{_m('m2')}\.?\s+{_d('d2')}(?!\d){_ORD}\.?{_Y}",
-            rf"\b{_d()}\.?\s*[–—-]\s*{_d('d2')}\.\s*(?P<mn>\d{{1,2}})\.\s*(?P<y>20\d{{2}})",
-            rf"\b{_d()}{_ORD}\.?\s+{_m()}\.?{_Y}",
-            rf"\b{_m()}\.?\s+{_d()}(?!\d){_ORD}\.?{_Y}",
-            rf"\b{_d()}\.(?P<mn>\d{{1,2}})\.(?P<y>20\d{{2}})\b",
-        ),
-    )
-)
-_KEY = _compile(DEADLINE_WORDS)
-_LD_BLOCK = re.compile(r"<script[^>]+ld\+json[^>]*>(.*?)</script>", re.IGNORECASE | re.DOTALL)
+# Ordinal endings, and what joins the two ends of a range.
+ORDINALS = ("st", "nd", "rd", "th")
+JOINS = ("-", "–", "—", "to", "until", "bis")
+
+_KEY = re.compile(DEADLINE_WORDS, re.IGNORECASE)
+_TOKENS = re.compile(r"(?P<number>\d+)|(?P<word>[^\W\d_]+)|(?P<mark>[^\w\s])|(?P<other>_)")
+
+
+class Token(NamedTuple):
+    kind: str
+    text: str
+    spaced: bool  # white space before it
+    glued: bool  # a letter, digit or underscore right before it
+
+
+class Point(NamedTuple):
+    """What is written of one date, the form it is written in, and the token behind it."""
+
+    day: int
+    month: int | None
+    year: int | None
+    form: int
+    end: int
+
+
+#: Forms of a date, in the order in which `dates_in` lists them.
+DOTTED, ISO, DAY_FIRST, MONTH_FIRST, BARE = range(5)
+#: In which forms a range may end, by the form in which it begins.
+FOLLOWS = {BARE: (DAY_FIRST, DOTTED), DAY_FIRST: (DAY_FIRST,), MONTH_FIRST: (BARE, MONTH_FIRST), DOTTED: (), ISO: ()}
+
+
+def _tokens(text: str) -> list[Token]:
+    out, before = [], 0
+    for hit in _TOKENS.finditer(text):
+        start = hit.start()
+        out.append(Token(hit.lastgroup, hit[0].lower(), start > before, bool(start) and (text[start - 1].isalnum() or text[start - 1] == "_")))
+        before = hit.end()
+    return out
+
+
+class _Reader:
+    """The grammar over the tokens of one text. Each rule takes the place where it begins."""
+
+    def __init__(self, text: str):
+        self.tokens = _tokens(text)
+
+    def has(self, i: int, *texts: str) -> bool:
+        return i < len(self.tokens) and self.tokens[i].text in texts
+
+    def close(self, i: int, *texts: str) -> bool:
+        """One of the texts without white space before it."""
+        return self.has(i, *texts) and not self.tokens[i].spaced
+
+    def glued(self, i: int) -> bool:
+        return i < len(self.tokens) and self.tokens[i].glued and self.tokens[i].kind != "mark"
+
+    def apart(self, i: int) -> bool:
+        return i < len(self.tokens) and self.tokens[i].spaced
+
+    def number(self, i: int, least: int, most: int) -> int | None:
+        """A number of so many digits."""
+        if i < len(self.tokens) and self.tokens[i].kind == "number" and least <= len(self.tokens[i].text) <= most:
+            return int(self.tokens[i].text)
+        return None
+
+    def year(self, i: int) -> tuple[int | None, int]:
+        """A year of this century, perhaps behind a comma; nothing is taken where there is none."""
+        at = i + self.has(i, ",")
+        y = self.number(at, 4, 4)
+        return (y, at + 1) if y is not None and 2000 <= y < 2100 else (None, i)
+
+    def day(self, i: int) -> tuple[int | None, int]:
+        """A day with or without an ordinal ending."""
+        d = self.number(i, 1, 2)
+        if d is None:
+            return None, i
+        return d, i + 1 + self.close(i + 1, *ORDINALS)
+
+    def month(self, i: int) -> tuple[int | None, int]:
+        m = MONTHS.get(self.tokens[i].text) if i < len(self.tokens) else None
+        return (None, i) if m is None else (m, i + 1 + self.close(i + 1, "."))
+
+    def digits(self, i: int, mark: str, widths: tuple[int, int, int], spaces: bool) -> tuple[list[int], int] | None:
+        """Three numbers of at most these widths with a mark between them."""
+        found = [self.number(i + 2 * k, w if w > 2 or mark == "-" else 1, w) for k, w in enumerate(widths)]
+        if None in found or not (self.has(i + 1, mark) and self.has(i + 3, mark)):
+            return None
+        if not spaces and any(t.spaced for t in self.tokens[i + 1 : i + 5]) or self.glued(i + 5):
+            return None
+        return found, i + 5
+
+    def point(self, i: int, inner: bool = False) -> Point | None:
+        """The date that begins at token i. An inner one is an end of a range: it may be a bare day, and spaces may
+        stand in its dotted form."""
+        if i >= len(self.tokens) or self.tokens[i].glued and not inner:
+            return None
+        if got := self.digits(i, ".", (2, 2, 4), inner):
+            (d, m, y), end = got
+            return Point(d, m, y, DOTTED, end)
+        if not inner and (got := self.digits(i, "-", (4, 2, 2), False)):
+            (y, m, d), end = got
+            return Point(d, m, y, ISO, end) if 2000 <= y < 2100 else None
+        m, at = self.month(i)
+        if m is not None:
+            d, at = self.day(at) if self.apart(at) else (None, at)
+            y, at = self.year(at)
+            return None if d is None else Point(d, m, y, MONTH_FIRST, at)
+        d, at = self.day(i)
+        if d is None:
+            return None
+        at += self.close(at, ".")
+        of = self.apart(at) and self.has(at, "of")
+        m, end = self.month(at + of)
+        if m is not None and self.apart(at + of):
+            y, end = self.year(end)
+            return Point(d, m, y, DAY_FIRST, end)
+        y, end = self.year(at)
+        return Point(d, None, y, BARE, end) if inner else None
+
+    def spans(self) -> Iterator[tuple[Point, Point]]:
+        """Every first and last point that the text allows; a single date is both."""
+        for i, token in enumerate(self.tokens):
+            first = None if token.glued else self.point(i, inner=True)
+            if first is None:
+                continue
+            if first.form != BARE:
+                yield first, first
+            if self.has(first.end, *JOINS) and (last := self.point(first.end + 1, inner=True)) and last.form in FOLLOWS[first.form]:
+                yield first, last
 
 
 def _day(y: int, m: int, d: int) -> date | None:
@@ -82,42 +185,52 @@ def _end_of(d: date) -> datetime:
 
 
 def dates_in(snippet: str, now: datetime) -> list[datetime]:
-    """All dates of a snippet, pattern by pattern, each at the end of its day. One without a year is the next to come."""
+    """All dates of a snippet by form, then place, each at the end of its day. One without a year is the next to come."""
+    reader = _Reader(snippet)
+    points = [p for i in range(len(reader.tokens)) if (p := reader.point(i))]
     out = []
-    for pattern in _SINGLE:
-        for hit in pattern.finditer(snippet):
-            g = hit.groupdict()
-            month = int(g["mn"]) if g.get("mn") else MONTHS[g["m"].lower()]
-            years = [int(g["y"])] if g.get("y") else [now.year, now.year + 1]
-            found = [_end_of(d) for y in years if (d := _day(y, month, int(g["d"])))]
-            out += [x for x in found if g.get("y") or x >= now][:1]
+    for p in sorted(points, key=lambda p: p.form):
+        days = [_day(y, p.month, p.day) for y in ([p.year] if p.year else [now.year, now.year + 1])]
+        out += [_end_of(d) for d in days if d and (p.year or _end_of(d) >= now)][:1]
     return out
 
 
-def _iso(value: object) -> datetime | None:
+def _moment(value: object) -> datetime | None:
+    """An ISO time; one without a zone is UTC."""
     try:
         at = datetime.fromisoformat(str(value).strip().replace("Z", "+00:00"))
     except ValueError:
         return None
-    return at if at.tzinfo else at.replace(tzinfo=UTC)
+    return at.replace(tzinfo=at.tzinfo or UTC)
 
 
-def _stated(node: object) -> Iterator[datetime]:
-    """Closing dates of structured data, depth first."""
-    if isinstance(node, dict):
-        at = _iso(node.get("validThrough") or node.get("applicationDeadline") or "")
-        if at:
-            yield at
-        for value in node.values():
-            yield from _stated(value)
-    elif isinstance(node, list):
-        for value in node:
-            yield from _stated(value)
+_LD_BLOCK = re.compile(r"<script[^>]+ld\+json[^>]*>(.*?)</script>", re.IGNORECASE | re.DOTALL)
+_HIDDEN = re.compile(r"<(script|style|nav|footer|header)\b.*?</\1>|<[^>]+>|&nbsp;|&#160;", re.IGNORECASE | re.DOTALL)
 
 
-def plain_text(html: str) -> str:
-    text = re.sub(r"(?is)<(script|style|nav|footer|header)\b.*?</\1>", " ", html)
-    return re.sub(r"\s+", " ", re.sub(r"&nbsp;|&#160;", " ", re.sub(r"<[^>]+>", " ", text)))
+def _stated(html: str) -> Iterator[datetime]:
+    """Closing dates in the structured data of a page, in document order: an object before what it holds."""
+    for block in _LD_BLOCK.findall(html):
+        try:
+            waiting = [json.loads(block)]
+        except (ValueError, RecursionError):
+            continue
+        while waiting:
+            node = waiting.pop()
+            if isinstance(node, dict):
+                at = _moment(node.get("validThrough") or node.get("applicationDeadline") or "")
+                if at:
+                    yield at
+                node = list(node.values())
+            if isinstance(node, list):
+                waiting += reversed(node)
+
+
+def _written(html: str, now: datetime) -> Iterator[datetime]:
+    """Dates of the visible text close behind a keyword."""
+    text = " ".join(_HIDDEN.sub(" ", html).split())
+    for key in _KEY.finditer(text):
+        yield from dates_in(text[key.start() : key.start() + REACH], now)
 
 
 def find_deadline(html: str | None, now: datetime) -> datetime | None:
@@ -125,35 +238,25 @@ def find_deadline(html: str | None, now: datetime) -> datetime | None:
     the nearest to come, else the latest."""
     if not html:
         return None
-    for block in _LD_BLOCK.findall(html):
-        try:
-            at = next(_stated(json.loads(block)), None)
-        except (ValueError, RecursionError):
-            continue
-        if at:
-            return at
-    text = plain_text(html)
-    found = [d for key in _KEY.finditer(text) for d in dates_in(text[key.start() : key.start() + REACH], now)]
-    ahead = [d for d in found if d >= now]
-    return min(ahead) if ahead else max(found, default=None)
+    stated = next(_stated(html), None)
+    if stated:
+        return stated
+    written = sorted(_written(html, now))
+    return next((d for d in written if d >= now), written[-1] if written else None)
 
 
 def event_range(text: str | None, now: datetime) -> tuple[datetime, datetime] | None:
     """Earliest date range with a year that ended at most a day ago: start of its first and end of its last day."""
     best = None
-    for pattern in _RANGE:
-        for hit in pattern.finditer(text or ""):
-            g = hit.groupdict()
-            names = [g.get(k) for k in ("m", "m2")]
-            months = [MONTHS[n.lower()] if n else None for n in names]
-            m1 = int(g["mn"]) if g.get("mn") else months[0] or months[1]
-            m2 = int(g["mn"]) if g.get("mn") else months[1] or months[0]
-            y, d1, d2 = int(g["y"]), int(g["d"]), int(g.get("d2") or g["d"])
-            first, last = _day(y, m1, d1), _day(y, m2, d2)
-            if first and last and first > last:
-                first = _day(y - 1, m1, d1)
-            if first and last and _end_of(last) + timedelta(days=1) >= now and (best is None or first < best[0]):
-                best = (first, last)
+    for a, b in _Reader(text or "").spans():
+        y, m = b.year or a.year, b.month or a.month
+        if not (y and m):
+            continue
+        first, last = _day(y, a.month or m, a.day), _day(y, m, b.day)
+        if first and last and first > last:
+            first = _day(y - 1, a.month or m, a.day)
+        if first and last and _end_of(last) + timedelta(days=1) >= now and (best is None or first < best[0]):
+            best = first, last
     return best and (datetime.combine(best[0], time(), UTC), _end_of(best[1]))
 
 
@@ -207,31 +310,30 @@ _FORMATS = (
 
 
 def parse_date(text: Column) -> Column:
-    """Timestamp of a loose date (RFC 822, ISO, date only), or null. The session's zone should be UTC."""
+    """Timestamp of a loose date (RFC 822, ISO, date only), or null. The session's zone should be UTC. The way a
+    value begins decides which formats are tried."""
     bare = F.trim(F.regexp_replace(text, r"^\s*[A-Za-z]{3,9}\.?,?\s+(?=\d)", ""))
-    bare = F.when(bare.rlike(r"^[A-Za-z]{3}[a-z]*\s+\d{1,2},"), bare).otherwise(bare)
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in _FORMATS])
+    begins = ((r"^\d{4}-", _FORMATS[:4]), (r"^\d{1,2}\s", _FORMATS[4:11]), ("^[A-Za-z]", _FORMATS[11:13]))
+    out = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in _FORMATS[13:]])
+    for pattern, formats in begins:
+        out = F.when(bare.rlike(pattern), F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats])).otherwise(out)
+    return out
 
 
 def parse_date_range(text: Column) -> Column:
-    """struct(start, end) of "28 Jun - 3 Jul 2027", "11-15 Jan 2027" or "4 May 2027", or null."""
-    t, mon, no = F.coalesce(text, F.lit("")), "([A-Za-z]{3})\\w*", "(\\d{1,2})"
-    months = F.create_map(*[F.lit(x) for i, n in enumerate(MONTH_NAMES) for k in {w[:3] for w in n.split()} for x in (k, i + 1)])
-    forms = (
-        (rf"{no}\s+{mon}\s*[-–]\s*{no}\s+{mon}\s+(\d{{4}})", (5, 2, 1), (5, 4, 3)),
-        (rf"{no}\s*[-–]\s*{no}\s+{mon}\s+(\d{{4}})", (4, 3, 1), (4, 3, 2)),
-        (rf"{no}\s+{mon}\s+(\d{{4}})", (3, 2, 1), (3, 2, 1)),
-    )
-    out = F.lit(None).cast("struct<start:timestamp,end:timestamp>")
-    for pattern, first, last in reversed(forms):
-        def at(groups: tuple[int, int, int], less: int = 0, pattern: str = pattern) -> Column:
-            y, m, d = (F.regexp_extract(t, pattern, g) for g in groups)
-            month = F.try_element_at(months, F.lower(m))
-            text_ = F.format_string("%04d-%02d-%02d", y.try_cast("int") - less, month, d.try_cast("int"))
-            return F.try_to_timestamp(F.when(month.isNotNull(), text_), F.lit("yyyy-MM-dd"))
-
-        start, end = at(first), at(last)
-        start = F.when(start > end, at(first, 1)).otherwise(start)
-        found = F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
-        out = F.when(t.rlike(pattern), found).otherwise(out)
-    return out
+    """struct(start, end) of "28 Jun - 3 Jul 2027", "11-15 Jan 2027" or "4 May 2027", or null. One pattern takes all
+    three; what the first day lacks is that of the last."""
+    pattern = r"(?:(\d{1,2})(?:\s+([A-Za-z]{3})\w*)?\s*[-–]\s*)?(\d{1,2})\s+([A-Za-z]{3})\w*\s+(\d{4})"
+    parts = F.split(F.regexp_replace(F.regexp_substr(text, F.lit(pattern)), pattern, "$1/$2/$3/$4/$5"), "/")
+    months = F.create_map(*[F.lit(x) for k, i in {name[:3]: i for name, i in MONTHS.items()}.items() for x in (k, i)])
+    part = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(""))
+    month = lambda name: F.try_element_at(months, F.lower(name))
+
+    def at(year: Column, month_: Column, day: Column) -> Column:
+        return F.try_to_timestamp(F.when(month_.isNotNull(), F.format_string("%04d-%02d-%02d", year, month_, day.try_cast("int"))), F.lit("yyyy-MM-dd"))
+
+    y, m2, d2 = part(4).try_cast("int"), month(part(3)), part(2)
+    m1, d1 = F.when(part(1).isNull(), m2).otherwise(month(part(1))), F.coalesce(part(0), d2)
+    start, end = at(y, m1, d1), at(y, m2, d2)
+    start = F.when(start > end, at(y - 1, m1, d1)).otherwise(start)
+    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
