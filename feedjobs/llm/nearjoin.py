@@ -258,11 +258,14 @@ def sketch_distance(a: str, b: str) -> Column:
     return F.aggregate(xor(folded(a, b), folded(b, a)), F.lit(0), lambda n, w: n + F.bit_count(w))
 
 
+def close_sketches(a: str, b: str) -> Column:
+    return (NUM + DEN) * sketch_distance(a, b) <= (2 * DEN - (NUM + DEN)) * (F.col("na") + F.col("nb"))
+
+
 def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches allow a link: two sets that reach the threshold differ in at most (n_a + n_b) / 9 tokens."""
     left, right = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    near = (NUM + DEN) * sketch_distance("sa", "sb") <= (2 * DEN - (NUM + DEN)) * (F.col("na") + F.col("nb"))
-    return pairs.join(right, "b").join(left, "a").where(near).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(close_sketches("sa", "sb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,12 +320,14 @@ def _may_link(a: str, b: str) -> Column:
 
 
 def _side(buckets: DataFrame, x: str) -> DataFrame:
-    rest = [c for c in buckets.columns if c not in ("sig", "pos", "rank", "rep", "n", "c", "comp")]
+    rest = [c for c in buckets.columns if c not in ("sig", "pos", "rank", "rep", "n", "c", "comp", "sketch")]
+    rest += [F.col("sketch").alias(f"k{x}")] if "sketch" in buckets.columns else []
     return buckets.select(*rest, F.col("sig").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("rank").alias(f"r{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
 
 
 def block_pairs(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All pairs (a, b) of different components within buckets that may link. A bucket of more than `block` sets is cut
+    """All pairs (a, b) of different components within buckets that may link, by their sketches too where the rows have
+    them. A bucket of more than `block` sets is cut
     into chunks; each two chunks meet under a key of their own, so no task gets more than two chunks of a bucket."""
     k = F.ceil(F.col("c") / block).cast("int")
     chunk = F.pmod(F.xxhash64("rep", F.lit("chunk")), k).cast("int")
@@ -330,7 +335,10 @@ def block_pairs(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
     right = _side(buckets.withColumn("j", chunk).withColumn("i", F.explode(F.sequence(F.lit(0), "j"))), "b")
     same = (F.col("sa") == F.col("sb")) & (left["i"] == right["i"]) & (left["j"] == right["j"])
     once = (left["i"] < left["j"]) | (F.col("a") < F.col("b"))
-    met = left.join(right, same & once & (F.col("ca") != F.col("cb")) & _may_link("a", "b"))
+    may = _may_link("a", "b")
+    if "sketch" in buckets.columns:
+        may = may & close_sketches("ka", "kb")
+    met = left.join(right, same & once & (F.col("ca") != F.col("cb")) & may)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -371,7 +379,7 @@ def similar_groups(buckets: DataFrame, sketches: DataFrame, docs: DataFrame, sma
             hubs = materialise(buckets.groupBy("sig").agg(hub.alias("hub")), "hubs")
             pairs = hub_pairs(buckets, hubs)
         else:
-            pairs = block_pairs(buckets, block)
+            pairs = block_pairs(buckets.join(sketches.select("rep", "sketch"), "rep"), block)
         if not turn:
             pairs = pairs.unionByName(block_pairs(few, max(2, small))).distinct()
         links = true_links(materialise(pairs, "candidates"), sketches, docs)
