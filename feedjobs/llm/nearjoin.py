@@ -52,6 +52,8 @@ NUM, DEN, LACK = 4, 5, 5
 MAX_SLOT_BITS = 24
 #: Buckets of at most SMALL sets are joined directly; larger ones go through ROUNDS of hubs, then in blocks of BLOCK sets.
 SMALL, ROUNDS, BLOCK = 4, 2, 1000
+#: So many of the smallest signatures of a set tell in which bucket two sets meet first.
+LOWEST = 16
 #: Levels are counts up to this, then 8 steps for each doubling.
 _EXACT = 64
 _SEGMENT = 1 << 16
@@ -320,15 +322,32 @@ def _may_link(a: str, b: str) -> Column:
 
 
 def _side(buckets: DataFrame, x: str) -> DataFrame:
-    rest = [c for c in buckets.columns if c not in ("sig", "pos", "rank", "rep", "n", "c", "comp", "sketch")]
-    rest += [F.col("sketch").alias(f"k{x}")] if "sketch" in buckets.columns else []
+    rest = [c for c in buckets.columns if c not in ("sig", "pos", "rank", "rep", "n", "c", "comp", "sketch", "low", "low_ranks")]
+    rest += [F.col(c).alias(f"{to}{x}") for c, to in (("sketch", "k"), ("low", "low_"), ("low_ranks", "low_ranks_")) if c in buckets.columns]
     return buckets.select(*rest, F.col("sig").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("rank").alias(f"r{x}"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
 
 
-def block_pairs(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
+def lowest_signatures(buckets: DataFrame) -> DataFrame:
+    """rep, low, low_ranks: the LOWEST smallest signatures that a set has in these buckets, with their ranks."""
+    low = F.slice(F.array_sort(F.collect_list(F.struct("sig", "rank"))), 1, LOWEST)
+    return buckets.groupBy("rep").agg(low.alias("low")).select("rep", F.col("low.sig").alias("low"), F.col("low.rank").alias("low_ranks"))
+
+
+def _met_first(a: str, b: str) -> Column:
+    """Is this the bucket of the smallest signature that the two sets share and that this pair needs?
+
+    If their lists of smallest signatures share one, the smallest that the lists share is the smallest of all, as any
+    smaller one would be in both lists. If they share none, every bucket may be the first."""
+    both = NUM * (F.col(f"n{a}") + F.col(f"n{b}"))
+    needed = lambda x: F.filter(f"low_{x}", lambda s, i: (NUM + DEN) * (F.col(f"n{x}") - F.get(f"low_ranks_{x}", i)) >= both)
+    return F.coalesce(F.array_min(F.array_intersect(needed(a), needed(b))), F.col(f"s{a}")) == F.col(f"s{a}")
+
+
+def met_pairs(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
     """All pairs (a, b) of different components within buckets that may link, by their sketches too where the rows have
-    them. A bucket of more than `block` sets is cut
-    into chunks; each two chunks meet under a key of their own, so no task gets more than two chunks of a bucket."""
+    them, and only in the bucket where they meet first where the rows have their lowest signatures. A bucket of more
+    than `block` sets is cut into chunks; each two chunks meet under a key of their own, so no task gets more than two
+    chunks of a bucket."""
     k = F.ceil(F.col("c") / block).cast("int")
     chunk = F.pmod(F.xxhash64("rep", F.lit("chunk")), k).cast("int")
     left = _side(buckets.withColumn("i", chunk).withColumn("j", F.explode(F.sequence("i", k - 1))), "a")
@@ -338,8 +357,14 @@ def block_pairs(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
     may = _may_link("a", "b")
     if "sketch" in buckets.columns:
         may = may & close_sketches("ka", "kb")
+    if "low" in buckets.columns:
+        may = may & _met_first("a", "b")
     met = left.join(right, same & once & (F.col("ca") != F.col("cb")) & may)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def block_pairs(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
+    return met_pairs(buckets, block).distinct()
 
 
 def hub_pairs(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -379,7 +404,7 @@ def similar_groups(buckets: DataFrame, sketches: DataFrame, docs: DataFrame, sma
             hubs = materialise(buckets.groupBy("sig").agg(hub.alias("hub")), "hubs")
             pairs = hub_pairs(buckets, hubs)
         else:
-            pairs = block_pairs(buckets.join(sketches.select("rep", "sketch"), "rep"), block)
+            pairs = block_pairs(buckets.join(sketches.select("rep", "sketch"), "rep").join(lowest_signatures(buckets), "rep"), block)
         if not turn:
             pairs = pairs.unionByName(block_pairs(few, max(2, small))).distinct()
         links = true_links(materialise(pairs, "candidates"), sketches, docs)

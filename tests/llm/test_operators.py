@@ -232,6 +232,19 @@ def test_blocks_hold_each_pair_once(spark):
     assert sorted(got) == [(a, b) for a in range(9) for b in range(a + 1, 9)]
 
 
+@pytest.mark.parametrize("lowest", [2, 16])
+def test_pairs_are_taken_where_they_meet_first(spark, monkeypatch, lowest):
+    """The same pairs as from all buckets, each once where the lists of lowest signatures share one."""
+    monkeypatch.setattr(nearjoin, "LOWEST", lowest)
+    r = random.Random(lowest)
+    held = [(s, 0, r.randint(0, 7), i, 20 + i % 3, 30) for i in range(30) for s in r.sample(range(-12, 12), 9)]
+    buckets = spark.createDataFrame(held, "sig long, pos int, rank int, rep long, n long, c long").withColumn("comp", F.col("rep"))
+    all_met = [tuple(x) for x in nearjoin.met_pairs(buckets, 7).collect()]
+    met = [tuple(x) for x in nearjoin.met_pairs(buckets.join(nearjoin.lowest_signatures(buckets), "rep"), 7).collect()]
+    assert set(met) == set(all_met) and len(met) < len(all_met)
+    assert lowest == 2 or len(met) == len(set(met))
+
+
 def test_a_hot_bucket_is_split(spark):
     """Ten thousand texts around one: all of them are found without a task that pairs them all."""
     base = " ".join(f"w{i}" for i in range(60))
