@@ -404,7 +404,8 @@ def similar_groups(buckets: DataFrame, sketches: DataFrame, docs: DataFrame, sma
             hubs = materialise(buckets.groupBy("sig").agg(hub.alias("hub")), "hubs")
             pairs = hub_pairs(buckets, hubs)
         else:
-            pairs = block_pairs(buckets.join(sketches.select("rep", "sketch"), "rep").join(lowest_signatures(buckets), "rep"), block)
+            known = sketches.select("rep", "sketch").join(lowest_signatures(buckets), "rep")  # one row for each set
+            pairs = block_pairs(buckets.join(known, "rep"), block)
         if not turn:
             pairs = pairs.unionByName(block_pairs(few, max(2, small))).distinct()
         links = true_links(materialise(pairs, "candidates"), sketches, docs)
