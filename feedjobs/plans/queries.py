@@ -21,7 +21,7 @@ from ..operators import classify as C
 from ..operators import discover as D
 from ..operators import merge as M
 from ..operators.enrich import apply_verdicts, lookup_deadlines, verify_adverts
-from ..operators.keys import first_per_key, take_budget, top_n_per_site
+from ..operators.keys import first_per_key, top_n_per_site
 from ..operators.robots import robots_allows, robots_rules
 from ..operators.status import source_stats, update_status
 from ..sources import bodies as B
@@ -71,14 +71,14 @@ def _matched(text: str, terms=TERMS) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '{_has([t])}') THEN '{t}' END" for t in terms) + "], lambda x: x IS NOT NULL)"
 
 
-_ITEMS_SQL = "SELECT doc_id, string_split(text, chr(10))[1] AS title, left(text, 400) AS summary, 'https://' || source || '/' || (doc_id // 2) AS link, source, lang, concat_ws(' ', string_split(text, chr(10))[1], left(text, 400)) AS t FROM documents"
+_ITEMS_SQL = "SELECT doc_id, string_split(text, chr(10))[1] AS title, text AS summary, 'https://' || source || '/' || (doc_id // 2) AS link, source, lang, concat_ws(' ', string_split(text, chr(10))[1], text) AS t FROM documents"
 
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as raw items: title = first line, summary = first 400 characters, two documents to a link."""
+    """Documents as raw items: title = first line, summary = whole text, two documents to a link."""
     d = table(spark, sf_dir, "documents")
     link = F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 2).cast("string"))
-    return d.select("doc_id", F.split("text", "\n")[0].alias("title"), F.left("text", F.lit(400)).alias("summary"), link.alias("link"), F.col("source").alias("source_id"), F.col("lang"), F.col("doc_id").alias("item_ord"))
+    return d.select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), link.alias("link"), F.col("source").alias("source_id"), F.col("lang"), F.col("doc_id").alias("item_ord"))
 
 
 @register(f"SELECT doc_id, array_to_string({_matched('t')}, ',') AS matched FROM ({_ITEMS_SQL}) WHERE len({_matched('t')}) > 0")
@@ -331,19 +331,18 @@ def event_ranges(spark, sf_dir):
     return o.select("o_orderkey", *[F.unix_seconds(F.col(c)).alias(n) for n, c in cols.items()])
 
 
-@register(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 AND NOT (k = 1 AND past) AND NOT (k = 2 AND (late OR past)) THEN d END AS deadline,
-    CASE WHEN o_orderkey % 6 < 5 AND k = 1 AND past THEN true END AS apply_closed, CASE WHEN o_orderkey % 6 < 5 AND k = 2 AND past AND NOT late THEN true END AS call_closed
-    FROM (SELECT o_orderkey, o_orderkey % 3 AS k, {_DEADLINE_SQL} AS d, {_DEADLINE_SQL} < epoch(TIMESTAMP '2005-06-01') AS past, o_orderkey % 7 = 0 AS late FROM orders ORDER BY o_orderkey LIMIT 500)""")
+@register(f"""SELECT o_orderkey, CASE WHEN read AND NOT (k = 1 AND past) AND NOT (k = 2 AND (late OR past)) THEN d END AS deadline,
+    CASE WHEN read AND k = 1 AND past THEN true END AS apply_closed, CASE WHEN read AND k = 2 AND past AND NOT late THEN true END AS call_closed
+    FROM (SELECT o_orderkey, o_orderkey % 3 AS k, {_DEADLINE_SQL} AS d, {_DEADLINE_SQL} < epoch(TIMESTAMP '2005-06-01') AS past, o_orderkey % 7 = 0 AS late, o_orderkey % 6 < 5 AND row_number() OVER (ORDER BY o_orderkey) <= 80 AS read FROM orders)""")
 def lookup_deadlines_query(spark, sf_dir):
-    """Look-ups for the first 500 items of a run (the limit of the operator)."""
+    """All orders are items of a run; the look-ups of a run, 80 by default, go to the first of them."""
     pages = deadline_pages(spark, sf_dir)
     now = datetime(2005, 6, 1, tzinfo=UTC)
     day = F.to_timestamp(F.to_date(F.col("o_orderdate"))) + F.expr("INTERVAL 3653 DAYS")
     starts = F.when(F.col("o_orderkey") % 7 == 0, day - F.expr("INTERVAL 2 DAYS")).otherwise(day + F.expr("INTERVAL 9 DAYS"))
     k = F.col("o_orderkey") % 3
     feed = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("https://o/"), "o_orderkey").alias("url"), F.when(k == 0, "job").when(k == 1, "course").otherwise("event").alias("kind"), F.lit(None).cast("timestamp").alias("deadline"), F.when(k == 2, starts).alias("starts"))
-    feed = take_budget(feed, 500, ["o_orderkey"])
-    done = lookup_deadlines(feed, pages, now, FeedConfig(lookup_budget=500), ["o_orderkey"])
+    done = lookup_deadlines(feed, pages, now, FeedConfig(), ["o_orderkey"])
     return done.select("o_orderkey", seconds("deadline"), "apply_closed", "call_closed")
 
 
@@ -495,10 +494,10 @@ def urls_from_sitemaps(spark, sf_dir):
     return B.urls_from_sitemaps(p.select("p_partkey", F.when(k % 10 == 0, index).otherwise(urls).alias("body"))).select("p_partkey", "is_index", "loc")
 
 
-@register(f"""SELECT doc_id, title, 'https://d/' || doc_id AS link, CASE lang WHEN 'en' THEN left(summary, 50) || ' ' || source WHEN 'de' THEN source || '. ' || left(summary, 50) WHEN 'fr' THEN source ELSE source || '. ' || left(summary, 50) END AS summary,
+@register(f"""SELECT doc_id, title, 'https://d/' || doc_id AS link, CASE lang WHEN 'en' THEN summary || ' ' || source WHEN 'de' THEN source || '. ' || summary WHEN 'fr' THEN source ELSE source || '. ' || summary END AS summary,
     CASE lang WHEN 'en' THEN source || ', ' || lang ELSE source END AS location, CASE WHEN lang = 'es' THEN doc_id % 2 = 0 END AS open_posting FROM ({_ITEMS_SQL}) WHERE lang IN ('en', 'de', 'fr', 'es')""")
 def adapt_discovered(spark, sf_dir):
-    d = document_items(spark, sf_dir).select(F.col("doc_id").alias("item_ord"), "title", F.concat(F.lit("https://d/"), "doc_id").alias("url"), F.left("summary", F.lit(50)).alias("summary"), F.col("source_id").alias("org"), "lang")
+    d = document_items(spark, sf_dir).select(F.col("doc_id").alias("item_ord"), "title", F.concat(F.lit("https://d/"), "doc_id").alias("url"), "summary", F.col("source_id").alias("org"), "lang")
     none = F.lit(None).cast("string")
     parts = (
         B.adapt_discovered(d.where("lang = 'en'").withColumns({"university": F.col("org"), "country": F.col("lang"), "deadline": none}), "discovered"),
@@ -661,7 +660,7 @@ def stream_feed_query(spark, sf_dir):
 
     def to_items(batch: DataFrame, now: datetime) -> DataFrame:
         link = F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 2).cast("string"))
-        items = batch.select(F.split("text", "\n")[0].alias("title"), F.left("text", F.lit(400)).alias("summary"), link.alias("link"), F.col("source").alias("source_id"), F.col("source").alias("source_name"), F.col("doc_id").alias("item_ord"), F.lit("").alias("date"), F.lit("").alias("deadline"), F.lit(0).alias("source_ord"))
+        items = batch.select(F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), link.alias("link"), F.col("source").alias("source_id"), F.col("source").alias("source_name"), F.col("doc_id").alias("item_ord"), F.lit("").alias("date"), F.lit("").alias("deadline"), F.lit(0).alias("source_ord"))
         return C.classify(items, CFG, now)
 
     query = stream_feed(stream.withColumn("seen_at", seen), sources, f"{path}/feed", f"{path}/checkpoint", to_items, schema, CFG)
@@ -670,9 +669,9 @@ def stream_feed_query(spark, sf_dir):
     return spark.read.schema(schema).parquet(version_path(f"{path}/feed", last)).select("id", "title", "url", "kind", "source")
 
 
-@register(f"""SELECT {_CLEAN("left(text, 200)")} AS cleaned, doc_id FROM documents""")
+@register(f"""SELECT {_CLEAN("text")} AS cleaned, doc_id FROM documents""")
 def clean_html_query(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(clean_html(F.left("text", F.lit(200))).alias("cleaned"), "doc_id")
+    return table(spark, sf_dir, "documents").select(clean_html(F.col("text")).alias("cleaned"), "doc_id")
 
 
 @register()
