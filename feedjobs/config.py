@@ -47,6 +47,8 @@ TOP_VENUES = (
 RETAIN_DAYS = {"job": 30, "course": 120, "event": 60, "paper": 60, "news": 7}
 SOURCE_TYPES = ("rss", "html", "openalex", "arbeitsagentur", "jobsacuk", "euraxess", "adzuna", "page", "discovered", "isprs-calendar", "discovered-events", "curated")
 SOURCE_KINDS = ("job", "course", "event", "news", "paper", "auto")
+#: Types of loose boards, whose adverts are verified one by one.
+VERIFIED_TYPES = ("jobsacuk", "euraxess")
 #: Types whose listing shows everything that is open, so an item that is gone from it is over.
 FULL_LISTING_TYPES = ("html", "jobsacuk", "euraxess", "adzuna", "page", "discovered", "discovered-events", "curated")
 
@@ -63,6 +65,7 @@ class FeedConfig:
     top_venues: Sequence[str] = TOP_VENUES
     open_posting_days: int = 45
     full_listing_types: Sequence[str] = FULL_LISTING_TYPES
+    verified_types: Sequence[str] = VERIFIED_TYPES
     verdict_version: int = 2
     verdict_days: int = 30
     verify_budget: int = 120

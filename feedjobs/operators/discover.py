@@ -14,7 +14,7 @@ from ..functions.dates import deadline_column, event_range_column
 from ..functions.text import clean_page, event_key, first_capture, has_any, squeeze
 from ..functions.urls import base_domain, host, same_site, url_root
 from ..sources.bodies import TOPIC_URL
-from ..storage import shared_dir
+from ..storage import stored
 from .keys import first_per_key, take_budget, top_n_per_site
 
 # Words and paths by which programme and event pages are told from others.
@@ -234,21 +234,21 @@ def select_pages(pages: DataFrame, links: DataFrame, seeds: DataFrame, how: Sele
 
     seeds: site, site_host, url, depth, prio. One round per depth: the links (from_url, href, text) of the pages
     reached so far give the next ones; a URL keeps its smallest depth, then its smallest priority. Within a site
-    the budget takes pages by priority, depth and URL, and only those are followed. Lineage is cut by a
-    checkpoint in the shared folder after every round; there are at most max_depth rounds."""
-    shared_dir(pages.sparkSession)
+    the budget takes pages by priority, depth and URL, and only those are followed. Links and the URLs of pages are
+    written to the shared folder once, and so is what each round has chosen; there are at most max_depth rounds."""
     keep = ["site", "site_host", "url", "depth", "prio"]
-    stored = pages.select("url").distinct()
+    known = stored(pages.select("url").distinct(), "page-urls")
+    links = stored(links.select("from_url", "href", "text"), "links")
     allowed = ~F.col("url").rlike(how.skip_path)
     reached = first_per_key(seeds.select(*keep).where(allowed), ["site", "url"], ["depth", "prio"])
     best = lambda df: top_n_per_site(df, "site", how.crawl.max_pages, ["prio", "depth", "url"])
-    chosen = best(reached.join(stored, "url", "left_semi")).select(*keep)
+    chosen = stored(best(reached.join(known, "url", "left_semi")).select(*keep), "chosen")
     for depth in range(how.crawl.max_depth):
         frontier = chosen.where(F.col("depth") == depth)
-        out = frontier.select("site", "site_host", F.col("url").alias("from_url")).join(links.select("from_url", "href", "text"), "from_url")
+        out = frontier.select("site", "site_host", F.col("url").alias("from_url")).join(links, "from_url")
         out = out.withColumn("prio", how.priority(F.lit(depth))).where(F.col("prio").isNotNull() & _same_site(how.crawl.site_mode))
         found = out.select("site", "site_host", F.col("href").alias("url"), F.lit(depth + 1).alias("depth"), "prio").where(allowed)
         found = found.groupBy("site", "site_host", "url", "depth").agg(F.min("prio").alias("prio"))
-        new = found.join(chosen.select("site", "url"), ["site", "url"], "left_anti").join(stored, "url", "left_semi")
-        chosen = best(chosen.unionByName(new.select(*keep))).select(*keep).checkpoint()
+        new = found.join(chosen.select("site", "url"), ["site", "url"], "left_anti").join(known, "url", "left_semi")
+        chosen = stored(best(chosen.unionByName(new.select(*keep))).select(*keep), "chosen")
     return chosen.select("site", "url", "depth", "prio")

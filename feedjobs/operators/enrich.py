@@ -33,8 +33,8 @@ def apply_verdicts(items: DataFrame, verdicts: DataFrame, now: datetime, cfg: Fe
 
 def verify_adverts(todo: DataFrame, pages: DataFrame, now: datetime, cfg: FeedConfig) -> tuple[DataFrame, DataFrame]:
     """(kept, new verdicts) of the items whose page (url, html) is there: strong terms in the text from the title on."""
-    body = pages.select(F.col("url").alias("link"), page_text(F.col("html")).alias("_text"))
-    df = todo.join(body, "link")
+    body = pages.select(F.col("url").alias("link"), F.col("html").alias("_html"))
+    df = todo.join(body, "link").withColumn("_text", page_text(F.col("_html"))).drop("_html")  # only pages of these items are cleaned
     start = F.greatest(F.lit(1), F.expr("instr(_text, title)"))
     df = df.withColumn("_found", matched_terms(F.substring("_text", start, F.lit(cfg.verify_chars)), cfg.strong_terms))
     terms = F.array_join("_found", ", ")

@@ -74,7 +74,8 @@ def discover_events(pages: DataFrame, links: DataFrame, hosts: DataFrame, now: d
     own = event_pages(read.withColumn("deadline", deadline_column(F.col("html"), now)), now).withColumn("ctx", F.left("text", F.lit(600)))
     own = event_gate(own.withColumns({"page_ord": F.struct("depth", "url"), "link_ord": F.lit(-1)}), now, cfg.terms).select(*keep)
     named = event_links(read.drop("html").withColumnRenamed("url", "from_url").join(links, "from_url"))
-    target = pages.select(F.col("url").alias("href"), event_range_column(F.left(clean_page(F.col("html")), F.lit(1500)), now).alias("r"), deadline_column(F.col("html"), now).alias("deadline"))
+    asked = pages.withColumnRenamed("url", "href").join(named.select("href").distinct(), "href", "left_semi")
+    target = asked.select("href", event_range_column(F.left(clean_page(F.col("html")), F.lit(1500)), now).alias("r"), deadline_column(F.col("html"), now).alias("deadline"))
     linked = named.join(target, "href").where("r IS NOT NULL")
     linked = linked.select("host", "on_topic", F.col("text").alias("title"), F.col("href").alias("url"), F.col("r.start").alias("starts"), F.col("r.end").alias("ends"), "deadline", F.col("text").alias("ctx"), F.struct("depth", F.col("from_url").alias("url")).alias("page_ord"), F.col("position").alias("link_ord"))
     both = own.unionByName(event_gate(linked, now, cfg.terms, linked=True).select(*keep))

@@ -14,6 +14,7 @@ from ..operators.enrich import apply_verdicts, lookup_deadlines, verify_adverts
 from ..operators.keys import take_budget
 from ..operators.merge import carry_forward, dedupe_cross_source, feed_filters, feed_order, first_per_id, merge_feed, refresh_verdicts, retain, sort_feed
 from ..operators.status import source_stats, update_status
+from ..storage import stored
 
 SOURCE_COLUMNS = ("name", "type", "kind", "trusted", "on_topic", "tag")
 
@@ -41,20 +42,28 @@ def verified_boards(raw: DataFrame, verdicts: DataFrame, pages: DataFrame, now:
     return kept.unionByName(more), refresh_verdicts(verdicts, new, now, cfg.verdict_days)
 
 
-def refresh_feed(raw: DataFrame, sources: DataFrame, previous: DataFrame, status: DataFrame, now: datetime, cfg: FeedConfig | None = None, pages: DataFrame | None = None, errors: DataFrame | None = None) -> Refreshed:
+def refresh_feed(raw: DataFrame, sources: DataFrame, previous: DataFrame, status: DataFrame, now: datetime, cfg: FeedConfig | None = None, pages: DataFrame | None = None, errors: DataFrame | None = None, verdicts: DataFrame | None = None) -> Refreshed:
     """One run. raw: raw items with source_id, source_ord and item_ord; previous: the feed before; status: the
-    status before; pages (url, html): bodies for deadline look-ups. Same inputs and `now`, same result."""
+    status before; pages (url, html): bodies for deadline look-ups; with verdicts (link, v, ok, terms, at)
+    adverts of loose boards are verified on their pages too, and those boards count what is left after that.
+    Classified items and the feed before look-ups are written once, as several steps read them. Same inputs and
+    `now`, same result."""
     cfg = cfg or FeedConfig()
     spark = raw.sparkSession
     paused = status.where(F.col("consecutive_failures") >= cfg.max_failures).select("source_id")
     raw = with_sources(raw.join(paused, "source_id", "left_anti"), sources)
-    fresh = classify(raw, cfg, now)
+    if verdicts is not None and pages is not None:
+        loose = F.coalesce(F.col("source_type").isin(*cfg.verified_types), F.lit(False))
+        kept, verdicts = verified_boards(raw.where(loose), verdicts, pages, now, cfg)
+        raw = raw.where(~loose).unionByName(kept)
+    fresh = stored(classify(raw, cfg, now), "fresh")
     errors = errors if errors is not None else spark.createDataFrame([], "source_id string, error string")
     new_status = update_status(status, source_stats(raw, fresh), errors, sources, now, cfg.max_failures)
     read = new_status.where(F.col("last_checked") == F.lit(now).cast("timestamp"))
     merged = merge_feed(first_per_id(fresh), previous, now, cfg.recheck_days)
     feed = carry_forward(merged, previous, read, sources, cfg.full_listing_types)
     if pages is not None:
+        feed = stored(feed, "merged")
         feed = lookup_deadlines(feed, pages, now, cfg, feed_order(feed))
     feed = feed_filters(retain(feed, now, cfg.retain_days, cfg.default_retain_days), now, cfg.min_impact)
-    return Refreshed(sort_feed(dedupe_cross_source(feed)), new_status)
+    return Refreshed(sort_feed(dedupe_cross_source(feed)), new_status, verdicts)

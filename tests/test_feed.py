@@ -152,3 +152,21 @@ def test_empty_inputs(spark):
     raw = spark.createDataFrame([], "title string, link string, summary string, deadline string, source_id string, date string")
     feed = C.classify(raw, FeedConfig(), NOW)
     assert feed.count() == 0 and M.dedupe_cross_source(feed.withColumn("first_seen", F.lit(NOW).cast("timestamp"))).count() == 0
+
+
+def test_refresh_verifies_adverts_of_loose_boards(spark):
+    from feedjobs.plans.feed import refresh_feed
+
+    raw = spark.createDataFrame(
+        [("b", 0, 0, "GNSS engineer position open", "https://b/1", ""), ("b", 0, 1, "Engineer position open now", "https://b/2", ""), ("b", 0, 2, "Engineer position open here", "https://b/3", ""), ("b", 0, 3, "Engineer position not read", "https://b/4", "GNSS"), ("b", 0, 4, "Engineer position seen before", "https://b/5", "")],
+        "source_id string, source_ord int, item_ord int, title string, link string, summary string",
+    ).withColumns({"date": F.lit(""), "deadline": F.lit("")})
+    sources = spark.createDataFrame([("b", "Board", "jobsacuk", "job", True, False, None, True)], "id string, name string, type string, kind string, trusted boolean, on_topic boolean, tag string, enabled boolean")
+    pages = spark.createDataFrame([("https://b/2", "<p>Engineer position open now with GNSS</p>"), ("https://b/3", "<p>nothing</p>")], "url string, html string")
+    verdicts = spark.createDataFrame([("https://b/5", 2, True, "GNSS", NOW)], "link string, v int, ok boolean, terms string, at timestamp")
+    none = "id string, source string, kind string, first_seen timestamp, last_seen timestamp"
+    status = spark.createDataFrame([], "source_id string, state string, consecutive_failures int")
+    done = refresh_feed(raw, sources, spark.createDataFrame([], none), status, NOW, FeedConfig(), pages, verdicts=verdicts)
+    assert {r["url"] for r in done.feed.collect()} == {"https://b/1", "https://b/2", "https://b/5"}
+    assert {(r["link"], r["ok"]) for r in done.verdicts.collect()} == {("https://b/2", True), ("https://b/3", False), ("https://b/5", True)}
+    assert done.status.first()["items_found"] == 3
