@@ -466,6 +466,27 @@ def items_from_jsonld(spark, sf_dir):
     return B.items_from_jsonld(df).select("c_custkey", "title", "link", "deadline", "location")
 
 
+@register(f"""SELECT page_id, url AS link, {_CLEAN("coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+property=[\"'']og:title[\"''][^>]+content=[\"'']([^\"'']+)', 1), ''), nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} AS title,
+    trim({_CLEAN("coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+name=[\"'']description[\"''][^>]+content=[\"'']([^\"'']+)', 1), ''), regexp_extract(html, '(?i)<meta[^>]+property=[\"'']og:description[\"''][^>]+content=[\"'']([^\"'']+)', 1))")} || ' page ' || page_id) AS summary FROM pages""")
+def item_pages(spark, sf_dir):
+    """Every page as one item, tagged by its number."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.concat(F.lit("page "), "page_id").alias("tag"))
+    return B.item_from_page(p, NOW, "html", tag="tag").select("page_id", "link", "title", "summary")
+
+
+@register("""SELECT s_suppkey, s_name || ' research job' AS title, 'https://euraxess.ec.europa.eu/jobs/' || s_suppkey AS link, 'City ' || s_nationkey AS location, (1 + s_suppkey % 28) || ' Oct 2026' AS date,
+    epoch(DATE '2026-11-01' + (s_suppkey % 28)::INTEGER)::BIGINT + 86399 AS deadline FROM supplier WHERE s_suppkey % 5 <> 0""")
+def items_from_portal(spark, sf_dir):
+    """A listing page of a research portal per supplier: an offer named twice, or a link that is none."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    link = F.concat(F.when(k % 5 == 0, F.lit('<a href="/news/')).otherwise(F.lit('<a class="t" href="/jobs/')), k, F.lit('">'))
+    facts = F.concat(F.lit("<p>Posted on: "), 1 + k % 28, F.lit(" Oct 2026</p><dl><dt>Work Locations:</dt><dd>City "), "s_nationkey", F.lit("</dd></dl><b>Research Field</b> x <i>Application Deadline:</i> "), 1 + k % 28, F.lit(" Nov 2026 (UTC)"))
+    body = F.concat(F.lit("<html>"), link, F.lit("<b>"), "s_name", F.lit(" research job</b></a>"), facts, link, F.lit("once more the offer</a></html>"))
+    df = s.select("s_suppkey", F.lit("https://l/").alias("url"), body.alias("body"))
+    return B.items_from_listing(df, B.RESEARCH_PORTAL, datetime(2026, 10, 29, tzinfo=UTC), page_key="s_suppkey").select("s_suppkey", "title", "link", "location", "date", seconds("deadline"))
+
+
 @register("""SELECT s_suppkey, s_name || ' job' AS title, 'https://www.jobs.ac.uk/job/' || s_suppkey AS link, 'Uni ' || s_nationkey || '. tag' AS summary, 'L' || s_nationkey AS location, epoch(DATE '2026-11-01' + (s_suppkey % 28)::INTEGER)::BIGINT + 86399 AS deadline FROM supplier WHERE s_suppkey % 5 <> 0""")
 def items_from_listing(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
@@ -582,6 +603,23 @@ def event_pages(spark, sf_dir):
     return df.select("p_partkey", "title", seconds("starts"), seconds("deadline"), event_key(F.col("title"), F.col("starts")).alias("event_key"))
 
 
+@register("""SELECT k AS p_partkey, title, epoch(starts)::BIGINT AS starts, 2 AS prio
+    FROM (SELECT p_partkey AS k, 'Geodesy workshop ' || p_name || ' 2027' AS title, DATE '2027-01-05' + (p_partkey % 40 - 20)::INTEGER AS starts FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 7 <> 0)
+    WHERE starts >= DATE '2026-12-31' AND NOT (k % 2 = 0 AND starts < DATE '2027-01-04') AND (k % 3 <> 0 OR k % 4 = 0)""")
+def linked_events(spark, sf_dir):
+    """A link per part on pages of two sites: events, news, short and plain texts, skipped paths, other sites; days before and after now."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit("Geodesy workshop "), "p_name", F.lit(" 2027"))).when(k % 5 == 1, F.concat(F.lit("News: workshop "), "p_name")).when(k % 5 == 2, "workshop").when(k % 5 == 3, "plain words only").otherwise(F.concat(F.lit("Geodesy summit "), "p_name"))
+    site = F.when(k % 3 == 0, "a.com").otherwise("a.org")
+    href = F.concat(F.lit("https://"), F.when(k % 7 == 0, "x").otherwise("ev."), site, F.lit("/"), k, F.when(k % 5 == 4, "/login").otherwise(""))
+    starts = F.to_timestamp(F.date_add(F.lit("2027-01-05").cast("date"), (k % 40 - 20).cast("int")))
+    links = p.select("p_partkey", text.alias("text"), site.alias("host"), href.alias("href"), F.lit(True).alias("on_topic"), starts.alias("starts"), (starts + F.expr("make_dt_interval(cast(p_partkey % 2 as int))")).alias("ends"), F.when(k % 4 == 0, "about GNSS").otherwise("").alias("ctx"))
+    near = links.withColumn("prio", D.event_priority(F.lit(1))).where(F.col("prio").isNotNull() & same_site(F.col("href"), F.col("host"), "subdomain"))
+    rows = D.event_gate(D.event_links(near).withColumn("title", F.col("text")), datetime(2027, 1, 1, tzinfo=UTC), ("GNSS",), linked=True)
+    return rows.select("p_partkey", "title", seconds("starts"), "prio")
+
+
 @register("""WITH p AS (SELECT o_custkey AS site, 'https://u/a/' || o_orderkey AS url, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS deadline FROM orders),
     a AS (SELECT o_custkey AS site, o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'https://u/a/' || (o_orderkey + 1) || '/apply' WHEN 1 THEN 'https://u/a/' ELSE 'https://u/b' END AS u, o_orderkey * 10 AS d FROM orders)
     SELECT p.url, coalesce(any_value(p.deadline), arg_min(a.d, a.k) FILTER (starts_with(a.u, p.url || '/'))) AS deadline FROM p LEFT JOIN a ON a.site = p.site GROUP BY p.url""")
