@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmlcrf, linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
+from . import fillmiddle, htmlcrf, linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_html_extraction": htmlcrf.op9_html_extraction,
         "op10_url_filter": urlfilter.op10_url_filter,
+        "op11_fill_in_middle": fillmiddle.op11_fill_in_middle,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk": topk.op4_sql(),
         "op5_quality_rules": quality.op5_sql(),
         "op7_mixing": mixing.op7_sql(),
+        "op11_fill_in_middle": fillmiddle.op11_sql(),
     }
