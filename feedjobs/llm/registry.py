@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fillmiddle, htmlcrf, linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
+from . import convrepair, fillmiddle, htmlcrf, linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extraction": htmlcrf.op9_html_extraction,
         "op10_url_filter": urlfilter.op10_url_filter,
         "op11_fill_in_middle": fillmiddle.op11_fill_in_middle,
+        "op12_conversation_repair": convrepair.op12_conversation_repair,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.op5_sql(),
         "op7_mixing": mixing.op7_sql(),
         "op11_fill_in_middle": fillmiddle.op11_sql(),
+        "op12_conversation_repair": convrepair.op12_sql(),
     }
