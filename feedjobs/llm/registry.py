@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import convrepair, fillmiddle, htmlcrf, linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
+from . import annsearch, convrepair, fillmiddle, htmlcrf, linededup, mixing, nearjoin, packing, pii, quality, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filter": urlfilter.op10_url_filter,
         "op11_fill_in_middle": fillmiddle.op11_fill_in_middle,
         "op12_conversation_repair": convrepair.op12_conversation_repair,
+        "op13_nearest_neighbours": annsearch.op13_nearest_neighbours,
     }
 
 
