@@ -18,13 +18,70 @@ def has_any(text: Column, terms: Sequence[str]) -> Column:
     return text.rlike(word_pattern(terms)) if terms else F.lit(False)
 
 
-def matched_terms(text: Column, terms: Sequence[str]) -> Column:
-    """The terms that occur, in the order of `terms`. One alternation is tried first; the single terms only on a hit."""
-    none = F.array().cast("array<string>")
+#: Letters that patterns take for others than their lower case says, because both share an upper case.
+_ODD = {c: c.upper().lower() for c in map(chr, range(0x80, 0x10000)) if c.islower() and len(c.upper()) == 1 and c.upper().lower() != c}
+_ODD = {c: x for c, x in _ODD.items() if len(x) == 1}
+
+
+def _folded(term: str) -> str:
+    """One spelling of all that a pattern without case takes for the same letters."""
+    return term.replace("\u0130", "i").lower().translate(str.maketrans(_ODD))
+
+
+def _folded_column(text: Column) -> Column:
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "".join(_ODD), "".join(_ODD.values()))
+
+
+def _branches(tails: set[str]) -> str:
+    """Regular expression for any of the tails, longer ones first wherever one begins another."""
+    by_first: dict[str, set[str]] = {}
+    for t in sorted(tails):
+        if t:
+            by_first.setdefault(t[0], set()).add(t[1:])
+    escaped = lambda c: re.sub(r"([^\w\s])", r"\\\1", c)
+    ways = [escaped(c) + _branches(rest) for c, rest in by_first.items()] + [""] * ("" in tails)
+    return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+
+def term_pattern(terms: Sequence[str]) -> str:
+    """Regular expression that stops at every place where a term begins and captures the longest one there. It
+    consumes nothing, so terms that overlap are all found, each at its own place. The terms form a tree of shared
+    beginnings: a place costs as many steps as letters agree, however many terms there are."""
+    return r"(?iu)(?<!\p{L})(?=(" + _branches({_folded(t) for t in terms}) + r")(?!\p{L}))"
+
+
+def found_terms(text: Column, terms: Sequence[str]) -> Column:
+    """The terms that occur, in one scan of the text for all of them, in no order. What is captured at a place stands
+    for the shorter terms that begin there too, which the captured term tells by itself."""
     if not terms:
-        return none
-    each = F.array(*[F.when(text.rlike(word_pattern([t])), F.lit(t)) for t in terms])
-    return F.when(has_any(text, terms), F.filter(each, lambda t: t.isNotNull())).otherwise(none)
+        return F.array().cast("array<string>")
+    implied: dict[str, list[str]] = {}
+    for t in dict.fromkeys(terms):
+        short = _folded(t)
+        longer = [u for u in dict.fromkeys(terms) if _folded(u) == short or _folded(u).startswith(short) and not _folded(u)[len(short)].isalpha()]
+        for u in longer:
+            implied.setdefault(_folded(u), []).append(t)
+    table = F.create_map(*[x for key, values in implied.items() for x in (F.lit(key), F.array(*[F.lit(v) for v in dict.fromkeys(values)]))])
+    captured = F.array_distinct(F.regexp_extract_all(text, F.lit(term_pattern(terms)), F.lit(1)))
+    each = F.transform(captured, lambda c: F.try_element_at(table, _folded_column(c)))
+    return F.coalesce(F.array_distinct(F.flatten(F.array_compact(each))), F.array().cast("array<string>"))
+
+
+def terms_among(found: Column, terms: Sequence[str]) -> Column:
+    """Those of the terms that `found_terms` of a longer list holds, in the order of `terms`."""
+    if not terms:
+        return F.array().cast("array<string>")
+    listed = F.array(*[F.lit(t) for t in terms])
+    return F.array_intersect(listed, found) if len(set(terms)) == len(terms) else F.filter(listed, lambda t: F.array_contains(found, t))
+
+
+def any_among(found: Column, terms: Sequence[str]) -> Column:
+    return F.arrays_overlap(found, F.array(*[F.lit(t) for t in terms])) if terms else F.lit(False)
+
+
+def matched_terms(text: Column, terms: Sequence[str]) -> Column:
+    """The terms that occur, in the order of `terms`."""
+    return terms_among(found_terms(text, terms), terms)
 
 
 def _character(code: Column) -> Column:

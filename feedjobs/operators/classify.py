@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..config import FeedConfig
 from ..functions.dates import parse_date
-from ..functions.text import has_any, item_id, matched_terms
+from ..functions.text import any_among, found_terms, has_any, item_id, matched_terms, terms_among
 
 ONE_DAY = "INTERVAL 1 DAY"
+#: Column of `scan_terms`.
+FOUND = "_found_terms"
 
 
 def _col(df: DataFrame, name: str, kind: str) -> Column:
@@ -34,10 +36,23 @@ def item_text(df: DataFrame) -> Column:
     return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce(_col(df, "summary", "string"), F.lit("")))
 
 
+def scan_terms(df: DataFrame, *lists: Sequence[str]) -> DataFrame:
+    """Adds what occurs of all the lists in title and summary, found in one scan; the steps below use it where it is
+    there, and else scan for their own list. It goes through a generator, as filters on it would otherwise move
+    below it and repeat the scan."""
+    every = list(dict.fromkeys(t for terms in lists for t in terms))
+    return df.select("*", F.explode(F.array(found_terms(item_text(df), every))).alias(FOUND))
+
+
+def _any_of(df: DataFrame, terms: Sequence[str]) -> Column:
+    return any_among(F.col(FOUND), terms) if FOUND in df.columns else has_any(item_text(df), terms)
+
+
 def match_terms(df: DataFrame, terms: Sequence[str], text: Column | None = None) -> DataFrame:
     """Adds `matched`; keeps rows with a match or from a source that is on topic as a whole, and with a link."""
-    matched = matched_terms(item_text(df) if text is None else text, terms)
-    df = df.withColumn("matched", matched)
+    if text is None and FOUND not in df.columns:
+        df = scan_terms(df, terms)
+    df = df.withColumn("matched", terms_among(F.col(FOUND), terms) if text is None else matched_terms(text, terms))
     on_topic = F.coalesce(_col(df, "on_topic", "boolean"), F.lit(False))
     label = F.coalesce(_filled(_col(df, "tag", "string")), _col(df, "source_name", "string"), F.lit(""))
     df = df.where(((F.size("matched") > 0) | on_topic) & (F.coalesce(_col(df, "link", "string"), F.lit("")) != ""))
@@ -69,7 +84,7 @@ def over_or_closed(df: DataFrame, now: datetime) -> DataFrame:
 
 
 def exclude_terms(df: DataFrame, terms: Sequence[str]) -> DataFrame:
-    return df.where(~has_any(item_text(df), terms)) if terms else df
+    return df.where(~_any_of(df, terms)) if terms else df
 
 
 def listing_gate(df: DataFrame, kinds: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -77,8 +92,7 @@ def listing_gate(df: DataFrame, kinds: Mapping[str, Sequence[str]]) -> DataFrame
     title of enough words without an at sign."""
     kind = F.coalesce(_col(df, "source_kind", "string"), F.lit(""))
     gated = (F.coalesce(_col(df, "source_type", "string"), F.lit("")) == "html") & ~F.coalesce(_col(df, "trusted", "boolean"), F.lit(False)) & kind.isin("job", "event", "course")
-    text = item_text(df)
-    word = reduce(lambda acc, k: F.when(kind == k, has_any(text, kinds[k])).otherwise(acc), [k for k in ("job", "event", "course") if k in kinds], F.lit(True))
+    word = reduce(lambda acc, k: F.when(kind == k, _any_of(df, kinds[k])).otherwise(acc), [k for k in ("job", "event", "course") if k in kinds], F.lit(True))
     least = F.when(kind == "course", 2).when(F.coalesce(_col(df, "on_topic", "boolean"), F.lit(False)), 3).otherwise(4)
     words = F.size(F.split(F.trim("title"), r"(?U)\s+"))
     return df.where(~gated | (word & (words >= least) & ~F.contains("title", F.lit("@"))))
@@ -94,8 +108,7 @@ def open_posting_window(df: DataFrame, now: datetime, days: int = 45) -> DataFra
 def assign_kind(df: DataFrame, kinds: Mapping[str, Sequence[str]]) -> DataFrame:
     """The kind of the source; for `auto` or none the first kind whose words occur, else news."""
     own = F.nullif(_filled(_col(df, "source_kind", "string")), F.lit("auto"))
-    text = item_text(df)
-    return df.withColumn("kind", F.coalesce(own, *[F.when(has_any(text, w), F.lit(k)) for k, w in kinds.items()], F.lit("news")))
+    return df.withColumn("kind", F.coalesce(own, *[F.when(_any_of(df, w), F.lit(k)) for k, w in kinds.items()], F.lit("news")))
 
 
 def paper_impact(df: DataFrame, venues: Sequence[str], min_impact: int = 25) -> DataFrame:
@@ -142,10 +155,11 @@ def to_feed_item(df: DataFrame, summary_chars: int = 300) -> DataFrame:
 
 def classify(raw: DataFrame, cfg: FeedConfig, now: datetime) -> DataFrame:
     """Raw items with the columns of their source -> feed items. The order of the steps matters: the deadline
-    is judged before excluded words, and the gate uses the kind of the source, not of the item."""
+    is judged before excluded words, and the gate uses the kind of the source, not of the item. All word lists are
+    found in one scan of the text."""
     if "item_kind" in raw.columns:
         raw = raw.withColumn("source_kind", F.coalesce("item_kind", _col(raw, "source_kind", "string")))
-    df = match_terms(raw, cfg.terms)
+    df = match_terms(scan_terms(raw, cfg.terms, cfg.exclude, *cfg.kinds.values()), cfg.terms)
     df = over_or_closed(df, now)
     df = exclude_terms(df, cfg.exclude)
     df = listing_gate(df, cfg.kinds)

@@ -32,6 +32,28 @@ def test_text(spark):
     assert one(spark, matched_terms(F.lit("InSAR and GIS2, ÜGIS"), ["SAR", "GIS", "InSAR"])) == ["GIS", "InSAR"]
 
 
+def test_one_scan_equals_a_pattern_for_each_term(spark):
+    """Terms that overlap, begin each other, hold or end in signs and digits, in any case, with letters around."""
+    import random
+
+    from feedjobs.config import FeedConfig
+    from feedjobs.functions.text import any_among, found_terms, terms_among, word_pattern
+
+    cfg, r = FeedConfig(), random.Random(3)
+    lists = [["geo", "geo-AI", "Geo-AI maps", "AI", "maps of", "of", "3D", "3D map", "Ph.D.", "2026", "é", "straße", "GIS", "gis", "I", "sign in", "in", "C++", "a b a", "b a b"], list(cfg.terms), [*cfg.exclude, *(w for words in cfg.kinds.values() for w in words)]]
+    for terms in lists:
+        bits = [*terms, *terms, " ", "-", ".", "x", "3", "É", "STRASSE", "ſ", "\u0130", "\u0131", "\u212a", "\n", "+"]
+        texts = [" ".join(r.choice(bits) for _ in range(6)) if k % 2 else "".join(r.choice(bits) for _ in range(6)) for k in range(400)]
+        texts = [r.choice((str.upper, str.lower, str))(t) for t in texts] + ["", "geo-AI maps of 3D maps", None]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        found = found_terms(F.col("t"), terms)
+        want = F.filter(F.array(*[F.when(F.col("t").rlike(word_pattern([t])), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
+        rows = df.select("t", terms_among(found, terms).alias("got"), want.alias("want"), any_among(found, terms[:5]).alias("some"), F.coalesce(F.col("t").rlike(word_pattern(terms[:5])), F.lit(False)).alias("some_want")).collect()
+        assert [r for r in rows if r["got"] != r["want"]] == [] and all(r["some"] == r["some_want"] for r in rows)
+        assert sum(len(r["got"]) > 1 for r in rows) > 100
+
+
+
 def test_urls(spark):
     r = lambda h, b: one(spark, resolve_url(F.lit(h), F.lit(b)))
     assert r("/a", "https://X.org/b/c") == "https://x.org/a" or r("/a", "https://X.org/b/c") == "https://X.org/a"
