@@ -42,13 +42,19 @@ def verified_boards(raw: DataFrame, verdicts: DataFrame, pages: DataFrame, now:
     return kept.unionByName(more), refresh_verdicts(verdicts, new, now, cfg.verdict_days)
 
 
-def refresh_feed(raw: DataFrame, sources: DataFrame, previous: DataFrame, status: DataFrame, now: datetime, cfg: FeedConfig | None = None, pages: DataFrame | None = None, errors: DataFrame | None = None, verdicts: DataFrame | None = None) -> Refreshed:
-    """One run. raw: raw items with source_id, source_ord and item_ord; previous: the feed before; status: the
-    status before; pages (url, html): bodies for deadline look-ups; with verdicts (link, v, ok, terms, at)
-    adverts of loose boards are verified on their pages too, and those boards count what is left after that.
-    Classified items and the feed before look-ups are written once, as several steps read them. Same inputs and
-    `now`, same result."""
-    cfg = cfg or FeedConfig()
+@dataclass
+class Read:
+    """What a run has read: feed items, the status of sources after it, the sources read, verdicts."""
+
+    fresh: DataFrame
+    status: DataFrame
+    read: DataFrame
+    verdicts: DataFrame | None
+
+
+def read_items(raw: DataFrame, sources: DataFrame, status: DataFrame, now: datetime, cfg: FeedConfig, pages: DataFrame | None = None, errors: DataFrame | None = None, verdicts: DataFrame | None = None) -> Read:
+    """Raw items of sources that are on and not paused, verified and classified. Feed items are written once, as
+    several steps read them."""
     spark = raw.sparkSession
     paused = status.where(F.col("consecutive_failures") >= cfg.max_failures).select("source_id")
     raw = with_sources(raw.join(paused, "source_id", "left_anti"), sources)
@@ -59,11 +65,21 @@ def refresh_feed(raw: DataFrame, sources: DataFrame, previous: DataFrame, status
     fresh = stored(classify(raw, cfg, now), "fresh")
     errors = errors if errors is not None else spark.createDataFrame([], "source_id string, error string")
     new_status = update_status(status, source_stats(raw, fresh), errors, sources, now, cfg.max_failures)
-    read = new_status.where(F.col("last_checked") == F.lit(now).cast("timestamp"))
-    merged = merge_feed(first_per_id(fresh), previous, now, cfg.recheck_days)
-    feed = carry_forward(merged, previous, read, sources, cfg.full_listing_types)
+    return Read(fresh, new_status, new_status.where(F.col("last_checked") == F.lit(now).cast("timestamp")), verdicts)
+
+
+def refresh_feed(raw: DataFrame, sources: DataFrame, previous: DataFrame, status: DataFrame, now: datetime, cfg: FeedConfig | None = None, pages: DataFrame | None = None, errors: DataFrame | None = None, verdicts: DataFrame | None = None) -> Refreshed:
+    """One run. raw: raw items with source_id, source_ord and item_ord; previous: the feed before; status: the
+    status before; pages (url, html): bodies for deadline look-ups; with verdicts (link, v, ok, terms, at)
+    adverts of loose boards are verified on their pages too, and those boards count what is left after that.
+    Classified items and the feed before look-ups are written once, as several steps read them. Same inputs and
+    `now`, same result."""
+    cfg = cfg or FeedConfig()
+    got = read_items(raw, sources, status, now, cfg, pages, errors, verdicts)
+    merged = merge_feed(first_per_id(got.fresh), previous, now, cfg.recheck_days)
+    feed = carry_forward(merged, previous, got.read, sources, cfg.full_listing_types)
     if pages is not None:
         feed = stored(feed, "merged")
         feed = lookup_deadlines(feed, pages, now, cfg, feed_order(feed))
     feed = feed_filters(retain(feed, now, cfg.retain_days, cfg.default_retain_days), now, cfg.min_impact)
-    return Refreshed(sort_feed(dedupe_cross_source(feed)), new_status, verdicts)
+    return Refreshed(sort_feed(dedupe_cross_source(feed)), got.status, got.verdicts)

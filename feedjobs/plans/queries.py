@@ -26,9 +26,10 @@ from ..operators.robots import robots_allows, robots_rules
 from ..operators.status import source_stats, update_status
 from ..sources import bodies as B
 from ..sources.catalogue import source_violations, validate_sources, with_since
-from ..sources.snapshots import read_items, read_keyed, run_summary, write_feed
-from ..storage import new_folder
-from ..streaming.feed import stream_feed, version_path
+from ..sources.snapshots import read_feed, read_items, read_keyed, run_summary, write_feed
+from ..sources.store import FeedStore
+from ..storage import new_folder, stored
+from ..streaming.feed import current_feed, stream_feed
 from . import discovery as discover_jobs
 from . import feed as jobs
 
@@ -663,8 +664,8 @@ def snapshot_round_trip(spark, sf_dir):
     """Items written as a feed and as JSON files with an `items` array and a keyed object, and read back."""
     d = document_items(spark, sf_dir).select("doc_id", F.col("source_id").alias("site"), F.when(F.col("doc_id") % 3 == 0, F.lit(NOW).cast("timestamp")).alias("deadline"))
     path = new_folder(spark, "snapshot")
-    write_feed(d, path, NOW)
-    feed, run = spark.read.parquet(f"{path}/feed"), spark.read.parquet(f"{path}/run")
+    write_feed(d.withColumn("id", F.col("doc_id").cast("string")), path, NOW)
+    feed, run = (read_feed(spark, path)[k] for k in ("feed", "run"))
     files = feed.groupBy("site").agg(F.collect_list(F.struct("doc_id", F.col("site").alias("site"), F.col("deadline").cast("string").alias("deadline"))).alias("items"))
     files.write.partitionBy("site").json(f"{path}/items")  # one file with one object for each site
     items = read_items(spark, f"{path}/items", "doc_id long, site string, deadline string")
@@ -686,25 +687,33 @@ def source_catalogue(spark, sf_dir):
     return every.join(good.select("id").withColumn("_ok", F.lit(1)), "id", "left").select("s_suppkey", "problem", F.regexp_replace("url", "^https?", "https").alias("url"))
 
 
+def stream_sources(raw: DataFrame) -> DataFrame:
+    """The sources of raw items, as feeds that are no full listings."""
+    return raw.select(F.col("source_id").alias("id"), F.col("source_id").alias("name"), F.lit("rss").alias("type"), F.lit("auto").alias("kind"), F.lit(False).alias("trusted"), F.lit(False).alias("on_topic"), F.lit(None).cast("string").alias("tag"), F.lit(True).alias("enabled")).distinct()
+
+
+def stream_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw items of three rounds, ten days apart: those of a remainder by 4 come again, late and anew."""
+    raw = document_items(spark, sf_dir).withColumns({"date": F.lit(""), "deadline": F.lit(""), "source_ord": F.lit(0)})
+    k = F.col("doc_id") % 4
+    rounds = F.when(k == 0, F.array(F.lit(0))).when(k == 1, F.array(F.lit(1))).when(k == 2, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))
+    raw = raw.select("*", F.explode(rounds).alias("round")).drop("doc_id", "lang")
+    return raw.withColumn("seen_at", F.timestamp_seconds(F.lit(int(NOW.timestamp())) + F.col("round") * 864_000))
+
+
 @register()
 def stream_feed_query(spark, sf_dir):
-    """Documents as a stream of raw items; the feed after the last batch."""
-    raw = table(spark, sf_dir, "documents")
+    """Documents as a stream of three batches of raw items; the feed after the last, with look-ups."""
     path = new_folder(spark, "stream")
-    schema = M.first_per_id(classified(spark, sf_dir)).limit(0).withColumns({"first_seen": F.lit(NOW).cast("timestamp"), "last_seen": F.lit(NOW).cast("timestamp")}).schema
-    stream = spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/documents.parquet*")
-    seen = F.timestamp_seconds(F.lit(int(NOW.timestamp())) + F.col("doc_id") % 1000)
-    sources = raw.select(F.col("source").alias("id"), F.lit("rss").alias("type"), F.lit(True).alias("enabled")).distinct()
-
-    def to_items(batch: DataFrame, now: datetime) -> DataFrame:
-        link = F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 2).cast("string"))
-        items = batch.select(F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), link.alias("link"), F.col("source").alias("source_id"), F.col("source").alias("source_name"), F.col("doc_id").alias("item_ord"), F.lit("").alias("date"), F.lit("").alias("deadline"), F.lit(0).alias("source_ord"))
-        return C.classify(items, CFG, now)
-
-    query = stream_feed(stream.withColumn("seen_at", seen), sources, f"{path}/feed", f"{path}/checkpoint", to_items, schema, CFG)
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(schema).parquet(version_path(f"{path}/feed", last)).select("id", "title", "url", "kind", "source")
+    rounds = stored(stream_rounds(spark, sf_dir), "rounds")
+    for i in range(3):
+        rounds.where(F.col("round") == i).drop("round").coalesce(1).write.mode("append").parquet(f"{path}/raw")
+    stream = spark.readStream.schema(rounds.drop("round").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/raw")
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), F.col("text").alias("html"))
+    sources = stream_sources(rounds)
+    stream_feed(stream, sources, f"{path}/feed", f"{path}/checkpoint", CFG, pages, buckets=8).awaitTermination()
+    feed = current_feed(FeedStore(spark, f"{path}/feed"), sources, CFG)
+    return feed.select("id", "title", "kind", "source", seconds("first_seen"), seconds("last_seen"), seconds("deadline"), "carried")
 
 
 @register(f"""SELECT {_CLEAN("text")} AS cleaned, doc_id FROM documents""")
@@ -716,9 +725,9 @@ def clean_html_query(spark, sf_dir):
 def refresh_feed(spark, sf_dir):
     """The whole job: documents as raw items, a feed before made of every third of them, look-ups on pages."""
     raw = document_items(spark, sf_dir).withColumns({"date": F.lit(""), "deadline": F.lit(""), "source_ord": F.lit(0)})
-    sources = raw.select(F.col("source_id").alias("id"), F.col("source_id").alias("name"), F.lit("rss").alias("type"), F.lit("auto").alias("kind"), F.lit(False).alias("trusted"), F.lit(False).alias("on_topic"), F.lit(None).cast("string").alias("tag"), F.lit(True).alias("enabled")).distinct()
+    sources = stream_sources(raw)
     week = F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 7 DAYS")
-    previous = M.first_per_id(classified(spark, sf_dir)).where("item_ord % 3 = 0").withColumns({"first_seen": week, "last_seen": week, "deadline_checked": F.lit(None).cast("timestamp"), "call_closed": F.lit(None).cast("boolean")})
+    previous = stored(M.first_per_id(classified(spark, sf_dir)).where("item_ord % 3 = 0"), "previous").withColumns({"first_seen": week, "last_seen": week, "deadline_checked": F.lit(None).cast("timestamp"), "call_closed": F.lit(None).cast("boolean")})
     status = sources.select(F.col("id").alias("source_id"), F.lit("ok").alias("state"), F.lit(0).alias("consecutive_failures"))
     pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), F.col("text").alias("html"))
     done = jobs.refresh_feed(raw, sources, previous, status, NOW, CFG, pages)
