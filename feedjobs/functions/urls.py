@@ -64,6 +64,12 @@ def url_root(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/$", "")
 
 
+def ancestors(url: Column) -> Column:
+    """What stands before each slash of a URL: `a` is among the ancestors of `b` just where b starts with `a/`."""
+    parts = F.split(url, "/", -1)
+    return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+
+
 def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 

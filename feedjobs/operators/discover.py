@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import EXTRA_TERMS, CrawlConfig, FeedConfig
 from ..functions.dates import deadline_column, event_range_column
 from ..functions.text import clean_page, event_key, first_capture, has_any, squeeze
-from ..functions.urls import base_domain, host, same_site, url_root
+from ..functions.urls import ancestors, base_domain, host, same_site, url_root
 from ..sources.bodies import TOPIC_URL
 from ..storage import stored
 from .keys import first_per_key, take_budget, top_n_per_site
@@ -116,14 +116,20 @@ def follow_apply_links(programmes: DataFrame, links: DataFrame, pages: DataFrame
 
 def inherit_deadline(programmes: DataFrame, aux: DataFrame) -> DataFrame:
     """programmes (site, url, deadline) without a deadline take the first (by ord) of the site's pages (aux: site,
-    url, deadline, ord) below them, or above them if longer than the origin and 12 characters."""
+    url, deadline, ord) below them, or above them if longer than the origin and 12 characters.
+
+    Paths meet by equality, not by comparing all of a site: pages below are found at each of their ancestors, where
+    the first of them is chosen before the shuffle, and pages above at each ancestor of a programme."""
     open_ = programmes.where("deadline IS NULL").select("site", "url", url_root(F.col("url")).alias("_root")).distinct()
-    a = aux.where("deadline IS NOT NULL").select("site", F.col("url").alias("_u"), F.col("deadline").alias("_d"), "ord")
-    below = F.startswith("_u", F.concat("_root", F.lit("/")))
-    bare = F.regexp_replace("_u", "/$", "")
+    page = F.struct("ord", F.col("url").alias("_u"), F.col("deadline").alias("_d"))
+    a = aux.where("deadline IS NOT NULL AND url IS NOT NULL").select("site", F.col("url").alias("_u"), page.alias("_p"))
+    first = lambda df, *keys: df.groupBy(*keys).agg(F.min_by("_p", F.struct("_p.ord", "_p._u")).alias("_p"))
+    below = first(a.select("site", F.explode(ancestors(F.col("_u"))).alias("_root"), "_p"), "site", "_root")
     origin_len = F.char_length(F.regexp_extract("_u", r"^(https?://[^/?#]+)", 1))
-    above = F.startswith("_root", F.concat(bare, F.lit("/"))) & (F.char_length("_u") > origin_len + 12)
-    best = open_.join(a, "site").where(below | above).groupBy("site", "url").agg(F.min_by("_d", F.struct("ord", "_u")).alias("_d"))
+    long = a.where(F.char_length("_u") > origin_len + 12).select("site", F.regexp_replace("_u", "/$", "").alias("_above"), "_p")
+    above = open_.select("site", "url", F.explode(ancestors(F.col("_root"))).alias("_above")).join(first(long, "site", "_above"), ["site", "_above"])
+    found = open_.join(below, ["site", "_root"]).select("site", "url", "_p").unionByName(above.select("site", "url", "_p"))
+    best = first(found, "site", "url").select("site", "url", F.col("_p._d").alias("_d"))
     return programmes.join(best, ["site", "url"], "left").withColumn("deadline", F.coalesce("deadline", "_d")).drop("_d").select(*programmes.columns)
 
 

@@ -27,7 +27,9 @@ def robots_rules(df: DataFrame, body: str = "body", origin_col: str = "origin")
 
 def robots_allows(urls: DataFrame, rules: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """urls with `allowed`: by the rules of the agent's groups, else of `*`, the longest matching path wins and
-    allow wins a tie. An origin without rules allows everything. Different paths of an origin are joined once."""
+    allow wins a tie. An origin without rules allows everything. A path is looked up by its beginnings, those of the
+    lengths that rules of its origin have, so the work grows with the paths and the rules and not with their product.
+    Different paths of an origin are looked up once."""
     mine = F.array_contains("agents", agent.lower())
     named = rules.withColumn("_mine", mine).where(F.col("_mine") | F.array_contains("agents", "*"))
     own = named.groupBy("origin").agg(F.max("_mine").alias("_own"))
@@ -36,8 +38,11 @@ def robots_allows(urls: DataFrame, rules: DataFrame, agent: str, url: str = "url
     tail = F.when(F.startswith(tail, F.lit("/")), tail).otherwise(F.concat(F.lit("/"), tail))
     asked = urls.withColumns({"_origin": F.lower(origin(F.col(url))), "_tail": tail})
     distinct = asked.select("_origin", "_tail").distinct()
-    hit = distinct.join(named, (F.col("_origin") == F.col("origin")) & F.startswith("_tail", F.col("path")))
-    longest = lambda t: F.max(F.when(F.col("type") == t, F.char_length("path")))
-    judged = hit.groupBy("_origin", "_tail").agg(longest("allow").alias("_a"), longest("disallow").alias("_d"))
+    rules_ = named.groupBy("origin", "path").agg(F.bool_or(F.col("type") == "allow").alias("_allow"), F.bool_or(F.col("type") == "disallow").alias("_disallow"))
+    lengths = rules_.groupBy(F.col("origin").alias("_origin")).agg(F.collect_set(F.char_length("path")).alias("_lengths"))  # no more than the longest path has characters
+    probe = distinct.join(lengths, "_origin").select("_origin", "_tail", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.char_length("_tail"))
+    probe = probe.select(F.col("_origin").alias("origin"), F.left("_tail", F.col("_n")).alias("path"), "_tail", "_n")
+    longest = lambda t: F.max(F.when(F.col(t), F.col("_n")))
+    judged = probe.join(rules_, ["origin", "path"]).groupBy(F.col("origin").alias("_origin"), "_tail").agg(longest("_allow").alias("_a"), longest("_disallow").alias("_d"))
     out = asked.join(judged, ["_origin", "_tail"], "left")
     return out.withColumn("allowed", F.col("_d").isNull() | F.coalesce(F.col("_a") >= F.col("_d"), F.lit(False))).select(*urls.columns, "allowed")

@@ -621,14 +621,15 @@ def linked_events(spark, sf_dir):
     return rows.select("p_partkey", "title", seconds("starts"), "prio")
 
 
-@register("""WITH p AS (SELECT o_custkey AS site, 'https://u/a/' || o_orderkey AS url, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS deadline FROM orders),
-    a AS (SELECT o_custkey AS site, o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'https://u/a/' || (o_orderkey + 1) || '/apply' WHEN 1 THEN 'https://u/a/' ELSE 'https://u/b' END AS u, o_orderkey * 10 AS d FROM orders)
-    SELECT p.url, coalesce(any_value(p.deadline), arg_min(a.d, a.k) FILTER (starts_with(a.u, p.url || '/'))) AS deadline FROM p LEFT JOIN a ON a.site = p.site GROUP BY p.url""")
+@register("""WITH p AS (SELECT o_custkey AS site, CASE WHEN o_orderkey % 5 < 2 THEN 'https://u/faculty-of-geodesy/' ELSE 'https://u/a/' END || o_orderkey AS url, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS deadline FROM orders),
+    a AS (SELECT o_custkey AS site, o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'https://u/a/' || (o_orderkey + 1) || '/apply' WHEN 1 THEN 'https://u/a/' WHEN 2 THEN 'https://u/faculty-of-geodesy/' ELSE 'https://u/b' END AS u, o_orderkey * 10 AS d FROM orders)
+    SELECT p.url, coalesce(any_value(p.deadline), arg_min(a.d, a.k) FILTER (starts_with(a.u, p.url || '/') OR (starts_with(p.url, rtrim(a.u, '/') || '/') AND length(a.u) > 9 + 12))) AS deadline FROM p LEFT JOIN a ON a.site = p.site GROUP BY p.url""")
 def inherit_deadline(spark, sf_dir):
+    """Programmes of customers; pages below them, above them, above but short, and elsewhere."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    base = o.select(F.col("o_custkey").alias("site"), F.concat(F.lit("https://u/a/"), k).alias("url"), F.when(k % 3 == 0, k).cast("long").alias("deadline"))
-    u = F.when(k % 4 == 0, F.concat(F.lit("https://u/a/"), k + 1, F.lit("/apply"))).when(k % 4 == 1, F.lit("https://u/a/")).otherwise(F.lit("https://u/b"))
+    base = o.select(F.col("o_custkey").alias("site"), F.concat(F.when(k % 5 < 2, "https://u/faculty-of-geodesy/").otherwise("https://u/a/"), k).alias("url"), F.when(k % 3 == 0, k).cast("long").alias("deadline"))
+    u = F.when(k % 4 == 0, F.concat(F.lit("https://u/a/"), k + 1, F.lit("/apply"))).when(k % 4 == 1, F.lit("https://u/a/")).when(k % 4 == 2, F.lit("https://u/faculty-of-geodesy/")).otherwise(F.lit("https://u/b"))
     aux = o.select(F.col("o_custkey").alias("site"), u.alias("url"), (k * 10).cast("long").alias("deadline"), k.alias("ord"))
     return D.inherit_deadline(base, aux).select("url", "deadline")
 

@@ -1,5 +1,6 @@
 """Rules of the feed on hand-made rows."""
 
+import re
 from datetime import UTC, datetime
 
 import pytest
@@ -53,7 +54,6 @@ def test_one_scan_equals_a_pattern_for_each_term(spark):
         assert sum(len(r["got"]) > 1 for r in rows) > 100
 
 
-
 def test_urls(spark):
     r = lambda h, b: one(spark, resolve_url(F.lit(h), F.lit(b)))
     assert r("/a", "https://X.org/b/c") == "https://x.org/a" or r("/a", "https://X.org/b/c") == "https://X.org/a"
@@ -147,6 +147,43 @@ def test_robots(spark):
     assert allowed("other") == [False, False, False, True]
 
 
+def test_robots_of_many_rules(spark):
+    """Against all rules of an origin, one by one; the plan compares no path with all rules of its origin."""
+    import random
+
+    r = random.Random(7)
+    part = lambda: "".join(r.choice("ab/") for _ in range(r.randint(1, 6)))
+    rules = [(f"https://{o}", r.choice(("allow", "disallow")), f"/{part()}") for o in "xy" for _ in range(150)]
+    paths = sorted({(f"https://{o}", f"/{part()}{part()}") for o in "xyz" for _ in range(300)})
+    body = [(o, "User-agent: *\n" + "\n".join(f"{t}: {p}" for q, t, p in rules if q == o)) for o in ("https://x", "https://y")]
+    urls = spark.createDataFrame([(o + p + "#f",) for o, p in paths], "url string")
+    judged = robots_allows(urls, robots_rules(spark.createDataFrame(body, "origin string, body string")), "bot")
+    best = lambda o, p, kind: max((len(x) for q, t, x in rules if q == o and t == kind and p.startswith(x)), default=-1)
+    want = {o + p + "#f": best(o, p, "disallow") < 0 or best(o, p, "allow") >= best(o, p, "disallow") for o, p in paths}
+    assert {x["url"]: x["allowed"] for x in judged.collect()} == want and len(set(want.values())) == 2
+    plan = judged._jdf.queryExecution().toString()
+    assert not re.search(r"Join[^\n]*StartsWith", plan) and "NestedLoop" not in plan
+
+
+def test_deadlines_from_pages_above_and_below(spark):
+    """Against all pairs of a site: pages below, above, next to a programme, with and without slashes, queries, ties."""
+    import random
+
+    r = random.Random(5)
+    url = lambda: "https://u.org/" + "/".join(r.choice(("faculty-of-geodesy", "a", "b")) for _ in range(r.randint(0, 4))) + r.choice(("", "/", "?q=/a"))
+    programmes = [(s, u, d) for s in ("s", "t") for u, d in {(url(), None) for _ in range(60)}] + [("s", "https://u.org/has", 5)]
+    aux = [(r.choice("st"), r.choice((url(), "https://u.org")), r.choice((None, i)), i // 2) for i in range(120)]
+    root = lambda u: re.sub("/$", "", re.sub(r"[?#].*$", "", u))
+    want = {}
+    for s, u, d in programmes:
+        near = [(o, a, x) for t, a, x, o in aux if t == s and x is not None and (a.startswith(root(u) + "/") or root(u).startswith(re.sub("/$", "", a) + "/") and len(a) > len("https://u.org") + 12)]
+        want[s, u] = d if d is not None or not near else min(near)[2]
+    got = D.inherit_deadline(spark.createDataFrame(programmes, "site string, url string, deadline long"), spark.createDataFrame(aux, "site string, url string, deadline long, ord int"))
+    seen = {(x["site"], x["url"]): x["deadline"] for x in got.collect()}
+    assert seen == want and len({v for v in want.values()}) > 5
+    assert "StartsWith" not in got._jdf.queryExecution().toString()
+
+
 def test_links_and_structured_data(spark):
     html = '<a href="/a">A link of words</a><a href="/a">A second link text</a><a href="x y">short</a><a href="b?c=1#d">Another good link</a>'
     ld = '<script type="application/ld+json">[{"@graph":[{"@type":"Course","name":"C &amp; D","url":"c"}]},{"@type":"Event","name":"no link"}]</script><script type="application/ld+json">{bad</script>'
