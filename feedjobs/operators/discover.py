@@ -14,7 +14,7 @@ from ..functions.dates import deadline_column, event_range_column
 from ..functions.text import clean_page, event_key, first_capture, has_any, squeeze
 from ..functions.urls import ancestors, base_domain, host, same_site, url_root
 from ..sources.bodies import TOPIC_URL
-from ..storage import stored
+from ..storage import stored, stored_by
 from .keys import first_per_key, take_budget, top_n_per_site
 
 # Words and paths by which programme and event pages are told from others.
@@ -235,26 +235,33 @@ def _same_site(mode: str) -> Column:
     return (h == F.col("site_host")) | (base_domain(h) == base_domain(F.col("site_host")) if mode == "domain" else F.endswith(h, F.concat(F.lit("."), F.col("site_host"))))
 
 
+def follow(frontier: DataFrame, links: DataFrame, how: Selection, depth: int) -> DataFrame:
+    """site, site_host, url, depth, prio of what the links of the frontier lead to, each once. With links in buckets of
+    from_url only the frontier is dealt out, which the budget bounds for each site."""
+    out = frontier.select("site", "site_host", F.col("url").alias("from_url")).join(links, "from_url")
+    out = out.withColumn("prio", how.priority(F.lit(depth))).where(F.col("prio").isNotNull() & _same_site(how.crawl.site_mode))
+    found = out.select("site", "site_host", F.col("href").alias("url"), F.lit(depth + 1).alias("depth"), "prio").where(~F.col("url").rlike(how.skip_path))
+    return found.groupBy("site", "site_host", "url", "depth").agg(F.min("prio").alias("prio"))
+
+
 def select_pages(pages: DataFrame, links: DataFrame, seeds: DataFrame, how: Selection) -> DataFrame:
     """site, url, depth, prio of the stored pages (url) that each site's budget allows.
 
     seeds: site, site_host, url, depth, prio. One round per depth: the links (from_url, href, text) of the pages
     reached so far give the next ones; a URL keeps its smallest depth, then its smallest priority. Within a site
     the budget takes pages by priority, depth and URL, and only those are followed. Links and the URLs of pages are
-    written to the shared folder once, and so is what each round has chosen; there are at most max_depth rounds."""
+    written to the shared folder once, in buckets of what rounds join them by, so no round deals them out again; what
+    each round has chosen is written too. There are at most max_depth rounds."""
     keep = ["site", "site_host", "url", "depth", "prio"]
-    known = stored(pages.select("url").distinct(), "page-urls")
-    links = stored(links.select("from_url", "href", "text"), "links")
-    allowed = ~F.col("url").rlike(how.skip_path)
-    reached = first_per_key(seeds.select(*keep).where(allowed), ["site", "url"], ["depth", "prio"])
+    known = stored_by(pages.select("url").distinct(), "url", "page_urls")
+    edges = stored_by(links.select("from_url", "href", "text"), "from_url", "links")
+    reached = first_per_key(seeds.select(*keep).where(~F.col("url").rlike(how.skip_path)), ["site", "url"], ["depth", "prio"])
     best = lambda df: top_n_per_site(df, "site", how.crawl.max_pages, ["prio", "depth", "url"])
-    chosen = stored(best(reached.join(known, "url", "left_semi")).select(*keep), "chosen")
+    chosen = stored(best(reached.join(known.rows, "url", "left_semi")).select(*keep), "chosen")
     for depth in range(how.crawl.max_depth):
-        frontier = chosen.where(F.col("depth") == depth)
-        out = frontier.select("site", "site_host", F.col("url").alias("from_url")).join(links, "from_url")
-        out = out.withColumn("prio", how.priority(F.lit(depth))).where(F.col("prio").isNotNull() & _same_site(how.crawl.site_mode))
-        found = out.select("site", "site_host", F.col("href").alias("url"), F.lit(depth + 1).alias("depth"), "prio").where(allowed)
-        found = found.groupBy("site", "site_host", "url", "depth").agg(F.min("prio").alias("prio"))
-        new = found.join(chosen.select("site", "url"), ["site", "url"], "left_anti").join(known, "url", "left_semi")
+        found = follow(chosen.where(F.col("depth") == depth), edges.rows, how, depth)
+        new = found.join(chosen.select("site", "url"), ["site", "url"], "left_anti").join(known.rows, "url", "left_semi")
         chosen = stored(best(chosen.unionByName(new.select(*keep))).select(*keep), "chosen")
+    known.drop()
+    edges.drop()
     return chosen.select("site", "url", "depth", "prio")

@@ -559,6 +559,34 @@ def select_pages(spark, sf_dir):
     return D.select_pages(pages, links, seeds, D.Selection(CrawlConfig(max_depth=3, max_pages=9), D.programme_priority))
 
 
+_EVENT_URL = "'https://' || CASE WHEN n % 7 = 6 THEN 'c' || c || 'x.org' WHEN n % 5 = 4 THEN 'sub.c' || c || '.org' ELSE 'c' || c || '.org' END || '/p' || n || CASE WHEN n % 11 = 10 THEN '.pdf' ELSE '' END"
+
+
+@register(f"""WITH o AS (SELECT c, n, {_EVENT_URL} AS url FROM (SELECT o_custkey % 50 AS c, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS n FROM orders)),
+    ok AS (SELECT * FROM o WHERE n % 7 <> 6 AND n % 11 <> 10),
+    c0 AS (SELECT c, n, url, 0 AS depth, 1 AS prio FROM ok WHERE n = 0),
+    f1 AS (SELECT DISTINCT ok.c, ok.n, ok.url, 1 AS depth, 1 AS prio FROM c0, (VALUES (1), (2), (3)) x(b), ok WHERE ok.c = c0.c AND ok.n = c0.n * 3 + x.b AND ok.n <> 0),
+    c1 AS (SELECT * FROM (SELECT * FROM c0 UNION ALL SELECT * FROM f1) QUALIFY row_number() OVER (PARTITION BY c ORDER BY prio, depth, url) <= 6),
+    f2 AS (SELECT DISTINCT ok.c, ok.n, ok.url, 2 AS depth, 2 AS prio FROM c1, (VALUES (1), (2), (3)) x(b), ok WHERE c1.depth = 1 AND ok.c = c1.c AND ok.n = c1.n * 3 + x.b),
+    c2 AS (SELECT * FROM (SELECT * FROM c1 UNION ALL SELECT * FROM f2 ANTI JOIN c1 USING (c, n)) QUALIFY row_number() OVER (PARTITION BY c ORDER BY prio, depth, url) <= 6)
+    SELECT 'c' || c AS site, url, depth::INTEGER AS depth, prio::INTEGER AS prio FROM c2""")
+def select_event_pages(spark, sf_dir):
+    """The event settings: two rounds, subdomains belong to a site and other hosts don't, skipped paths, words of event navigation."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("c"), F.col("o_orderkey").alias("k"))
+    o = o.withColumn("n", (F.row_number().over(Window.partitionBy("c").orderBy("k")) - 1).cast("long"))
+    dot = F.concat(F.lit("c"), "c", F.lit(".org"))
+
+    def page(n):
+        name = F.when(n % 7 == 6, F.concat(F.lit("c"), "c", F.lit("x.org"))).when(n % 5 == 4, F.concat(F.lit("sub."), dot)).otherwise(dot)
+        return F.concat(F.lit("https://"), name, F.lit("/p"), n, F.when(n % 11 == 10, ".pdf").otherwise(""))
+
+    texts = F.array(*[F.struct((F.col("n") * a + b).alias("t"), F.lit(t).alias("text")) for a, b, t in ((3, 1, "All events"), (3, 2, "Calendar"), (3, 3, "Workshops"), (5, 9, "About us"))])
+    links = o.select("c", page(F.col("n")).alias("from_url"), F.explode(texts).alias("x")).select("from_url", page(F.col("x.t")).alias("href"), F.col("x.text").alias("text"))
+    seeds = o.where("n = 0").select(F.concat(F.lit("c"), "c").alias("site"), dot.alias("site_host"), page(F.col("n")).alias("url"), F.lit(0).alias("depth"), F.lit(1).alias("prio"))
+    how = D.Selection(CrawlConfig(max_depth=2, max_pages=6, site_mode="subdomain"), D.event_priority, D.EVENT_SKIP_PATH)
+    return D.select_pages(o.select(page(F.col("n")).alias("url")), links, seeds, how)
+
+
 @register("""WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS host FROM pages)
     SELECT host, arg_min(url, page_id) AS url, true AS on_topic FROM a WHERE host <> 'hub.org' AND NOT (host = 'example.net' OR host LIKE '%.example.net') AND NOT regexp_matches(url, '(?i)\\.(pdf|jpe?g|png|zip|docx?|xlsx?)$|/(login|wp-admin|feed)\\b') GROUP BY host ORDER BY min(page_id), host LIMIT 40""")
 def seed_hosts(spark, sf_dir):

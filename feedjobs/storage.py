@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@dataclass
+class Bucketed:
+    """A table in buckets of a column, under a name in the catalogue."""
+
+    name: str
+    path: str
+    rows: DataFrame
+
+    def drop(self) -> None:
+        """Remove it; nothing still to be computed may read it."""
+        spark = self.rows.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored_by(df: DataFrame, key: str, label: str, buckets: int | None = None) -> Bucketed:
+    """df written to the shared folder in buckets of a column, for a table that is joined by it several times: such a
+    join deals out the other side only."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"{label}_{uuid.uuid4().hex}", new_folder(spark, label)
+    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return Bucketed(name, path, spark.table(name))

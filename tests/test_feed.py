@@ -184,6 +184,26 @@ def test_deadlines_from_pages_above_and_below(spark):
     assert "StartsWith" not in got._jdf.queryExecution().toString()
 
 
+def test_a_round_deals_out_only_its_frontier(spark):
+    from feedjobs.config import EVENT_CRAWL
+    from feedjobs.storage import stored_by
+
+    links = spark.range(500).select(F.concat(F.lit("https://a.org/"), F.col("id") % 50).alias("from_url"), F.concat(F.lit("https://x.a.org/"), "id").alias("href"), F.lit("events").alias("text"))
+    frontier = spark.range(3).select(F.lit("a").alias("site"), F.lit("a.org").alias("site_host"), F.concat(F.lit("https://a.org/"), "id").alias("url"))
+    edges = stored_by(links, "from_url", "test_links", buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = D.follow(frontier, edges.rows, D.Selection(EVENT_CRAWL, D.event_priority, D.EVENT_SKIP_PATH), 0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan[plan.index("SortMergeJoin") :]
+    assert join.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in join
+    edges.drop()
+    assert not spark.catalog.tableExists(edges.name)
+
+
 def test_links_and_structured_data(spark):
     html = '<a href="/a">A link of words</a><a href="/a">A second link text</a><a href="x y">short</a><a href="b?c=1#d">Another good link</a>'
     ld = '<script type="application/ld+json">[{"@graph":[{"@type":"Course","name":"C &amp; D","url":"c"}]},{"@type":"Event","name":"no link"}]</script><script type="application/ld+json">{bad</script>'
