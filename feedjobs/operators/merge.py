@@ -85,8 +85,8 @@ def dedupe_cross_source(df: DataFrame, kinds: Sequence[str] = DEDUPED_KINDS) ->
     thousands of items share do not gather in a task; the chosen ids then select the rows."""
     cols = df.columns
     order = [c for c in ("carried", "source_ord", "part_ord", "item_ord") if c in cols]
-    never = 2**31 - 1
-    place = [-F.unix_micros("first_seen"), *[F.coalesce(F.col(c).cast("int"), F.lit(never)) for c in order], F.col("id")]
+    never = 2**63 - 1
+    place = [-F.unix_micros("first_seen"), *[F.coalesce(F.col(c).cast("long"), F.lit(never)) for c in order], F.col("id")]
     rank = F.struct(F.col("deadline").isNull().alias("none"), *[p.alias(f"o{i}") for i, p in enumerate(place)])
     keyed = df.where(F.col("kind").isin(*kinds)).select("kind", norm_title(F.col("title")).alias("_title"), rank.alias("_rank"))
     chosen = keyed.groupBy("kind", "_title").agg(F.min("_rank").alias("r")).select(F.col(f"r.o{len(place) - 1}").alias("id"))
