@@ -11,8 +11,9 @@ word sums of the pieces are added up per source, and a running sum inside each p
 with a third of all rows is spread over as many pieces as its rows need.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; an
-empty table gives an empty result; repeated rows are documents of their own; keys depend on doc_id and the
-seed only, so reruns agree. Other columns pass through `mix` where `keep` names them.
+empty table gives an empty result; repeated rows are documents of their own. Keys depend on doc_id, the quality weight
+and the seed; rows of one key come in order of doc_id, size and text, and rows that agree in all of these are
+interchangeable, so reruns agree however the input is partitioned. Other columns pass through `mix` where `keep` names them.
 """
 
 from __future__ import annotations
@@ -72,20 +73,21 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, and the columns named in keep.
-    Where rows share key and doc_id, those columns decide the order."""
+    Where rows share key, doc_id, size and text, those columns decide the order."""
     t = F.col(text)
     skey = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))  # keeps code-point order, null last
     key = sampling_key(F.col(doc_id), quality_weight(t), seed)
-    sizes = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), n_words_of(t).alias("size"), key.alias("key"), *keep), "mix-sizes")
+    sizes = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), n_words_of(t).alias("size"), key.alias("key"), F.unhex(F.md5(F.coalesce(t, F.lit("")))).alias("tie"), F.monotonically_increasing_id().alias("spread"), *keep), "mix-sizes")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialise(sizes.repartitionByRange(n, "skey", "key", "doc_id", *keep).withColumn("piece", F.spark_partition_id()), "mix-pieces")
+    order = ["key", "doc_id", "size", "tie", *keep, "spread"]  # the last one only parts equal rows
+    pieces = materialise(sizes.repartitionByRange(n, "skey", *order).withColumn("piece", F.spark_partition_id()), "mix-pieces")
     plan = materialise(targets(sizes, weights, max_epochs), "mix-targets")
     # words in earlier pieces of the same source: one row per piece and source
     sums = pieces.groupBy("skey", "piece").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("skey").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialise(sums.select("skey", "piece", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start")).join(plan, "skey"), "mix-starts")
-    inside = Window.partitionBy("skey", "piece").orderBy("key", "doc_id", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["skey", "piece"])
     budget = F.floor("target")
     full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
@@ -114,7 +116,7 @@ def op7_sql() -> str:
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS body,
         coalesce(doc_id::VARCHAR, 'null') || ':{SEED}' AS k FROM documents),
-    s AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
+    s AS (SELECT doc_id, body, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
         len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
         -ln((('0x' || substr(md5(k), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
             / greatest(0.1::DOUBLE, 1.0::DOUBLE - 5.0::DOUBLE * {symbols} / greatest(1, length(body))) AS key FROM d),
@@ -128,7 +130,7 @@ def op7_sql() -> str:
     plan AS (SELECT skey, s::BIGINT AS source_size, CASE WHEN capped THEN cap ELSE w * (all_words - cap_sum) / (all_w - w_sum) END AS target FROM f),
     r AS (SELECT s.*, p.source_size, p.target, floor(p.target)::BIGINT AS budget,
         CASE WHEN p.source_size > 0 THEN floor(p.target)::BIGINT // p.source_size ELSE 0 END AS complete,
-        coalesce(sum(size) OVER (PARTITION BY skey ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        coalesce(sum(size) OVER (PARTITION BY skey ORDER BY key, doc_id NULLS FIRST, size, md5(body) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM s JOIN plan p USING (skey))
     SELECT doc_id, size, source_size, target,
         (complete * size + greatest(0, least(size, budget - complete * source_size - before)))::BIGINT AS taken FROM r

@@ -370,6 +370,17 @@ def test_mixing(spark, docs, rows):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_reruns_of_the_mix_agree_without_ids(spark):
+    """Many rows of one id and many without, of different sizes and of equal ones: any partitioning gives the same rows,
+    and rows without an id spread over pieces."""
+    r = random.Random(11)
+    text = lambda: " ".join(f"w{r.randint(0, 99)}" for _ in range(r.randint(1, 40)))
+    rows = [(1, text(), "a") for _ in range(30)] + [(None, text(), "a") for _ in range(30)] + [(None, "the same text", "a")] * 90 + [(i, text(), r.choice("bc")) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    results = [Counter(tuple(x) for x in mixing.mix(d).select("doc_id", "size", "source_size", "target", "taken").collect()) for d in (df.coalesce(1), df.repartition(3), df.orderBy(F.desc("text")).coalesce(2))]
+    assert results[0] == results[1] == results[2] and sum(results[0].values()) == len(rows)
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("0a", 10), ("0b", 1000), ("0c", 990)], "skey string, size long")
     t = {r["skey"]: r["target"] for r in mixing.targets(sizes).collect()}
