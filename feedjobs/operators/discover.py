@@ -6,16 +6,17 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EXTRA_TERMS, CrawlConfig, FeedConfig
 from ..functions.dates import deadline_column, event_range_column
 from ..functions.text import clean_page, event_key, first_capture, has_any, squeeze
 from ..functions.urls import ancestors, base_domain, host, same_site, url_root
-from ..sources.bodies import TOPIC_URL
+from ..sources.bodies import TOPIC_URL, urls_from_sitemaps
 from ..storage import stored, stored_by
 from .keys import first_per_key, take_budget, top_n_per_site
+from .robots import robots_allows
 
 # Words and paths by which programme and event pages are told from others.
 NAV_WORDS = r"(?i)(graduate|master|msc|m\.s\.|programs?|programmes?|degrees?|admission|apply|academics|study|studies|department|school|college|faculty|fachbereich|studium|studiengang)"
@@ -205,6 +206,46 @@ def seed_hosts(links: DataFrame, extra: DataFrame, skip: Sequence[str], max_host
     return take_budget(first_per_key(df, ["host"], order), max_hosts, [*order, "host"]).select("host", "url", "on_topic")
 
 
+# ------------------------------------------------------------------ sitemaps
+
+
+def sitemap_urls(origins: DataFrame, announced: DataFrame, bodies: DataFrame, rules: DataFrame | None = None, agent: str = "*", start: int = 4, reads: int = 12, children: int = 8, topic: str = TOPIC_URL) -> DataFrame:
+    """origin, loc, item_ord: the page URLs with a topic word in the sitemaps of each origin (origins: origin).
+
+    Read are, in the order of a queue, the first `start` of the announced ones (announced: origin, sitemap, item_ord)
+    and /sitemap.xml, then what sitemaps of sitemaps among them name, `children` each and no compressed ones, level by
+    level; each once, `reads` of an origin in all, stored (bodies: url, body) or not, and with rules (see
+    `robots_rules`) only those that the agent may read, which then don't count. Bodies are parsed once, into buckets of
+    their URL, so a level deals out only its queue, which the limits bound. The upper half of item_ord is the place of
+    the sitemap in the queue."""
+    parsed = stored_by(urls_from_sitemaps(bodies.select("url", "body"), topic=topic, max_children=children), "url", "sitemaps")
+    usual = origins.select("origin", F.concat("origin", F.lit("/sitemap.xml")).alias("url"), F.lit(1 << 31).cast("long").alias("pos"))
+    named = announced.select("origin", F.col("sitemap").alias("url"), F.col("item_ord").cast("long").alias("pos")).join(origins.select("origin").distinct(), "origin", "left_semi")
+    found = top_n_per_site(first_per_key(named.unionByName(usual.distinct()), ["origin", "url"], ["pos"]), "origin", start, ["pos", "url"]).withColumn("parent", F.lit(0))
+    seen, level = None, 0
+    while level < reads:  # a level reads one sitemap at least
+        new = robots_allows(found, rules, agent).where("allowed").drop("allowed") if rules is not None else found
+        if seen is not None:
+            before = seen.groupBy("origin").agg(F.count("*").alias("before"))
+            new = new.join(seen.select("origin", "url"), ["origin", "url"], "left_anti").join(before, "origin")
+        else:
+            new = new.withColumn("before", F.lit(0))
+        place = F.col("before") + F.row_number().over(Window.partitionBy("origin").orderBy("parent", "pos", "url"))
+        new = stored(new.withColumn("place", place.cast("int")).where(F.col("place") <= reads).select("origin", "url", "place", F.lit(level).alias("level")), "sitemap-level")
+        if new.isEmpty():
+            break
+        seen = new if seen is None else seen.unionByName(new)
+        inside = new.join(parsed.rows.where("is_index"), "url").select("origin", F.col("loc").alias("url"), F.col("item_ord").cast("long").alias("pos"), F.col("place").alias("parent"))
+        found = first_per_key(inside, ["origin", "url"], ["parent", "pos"])
+        level += 1
+    if seen is None:
+        seen = new
+    pages = seen.join(parsed.rows.where("NOT is_index"), "url").select("origin", "loc", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("item_ord")).alias("item_ord"))
+    pages = stored(first_per_key(pages, ["origin", "loc"], ["item_ord"]), "sitemap-pages")
+    parsed.drop()
+    return pages
+
+
 # ------------------------------------------------------------------ the link graph
 
 

@@ -516,6 +516,27 @@ def urls_from_sitemaps(spark, sf_dir):
     return B.urls_from_sitemaps(p.select("p_partkey", F.when(k % 10 == 0, index).otherwise(urls).alias("body"))).select("p_partkey", "is_index", "loc")
 
 
+@register("""WITH p AS (SELECT p_partkey AS k, p_partkey % 40 AS c, (p_partkey // 40) % 10 AS m, (p_partkey // 400) % 5 AS d FROM part)
+    SELECT 'https://c' || c AS origin, 'https://c' || c || '/geodesy/' || k AS loc, (CASE m WHEN 0 THEN 10 WHEN 1 THEN 11 + d ELSE 3 + m END)::INTEGER AS place FROM p WHERE k % 3 <> 0 AND (m IN (0, 2, 3, 4, 5, 6) OR (m = 1 AND d < 2))""")
+def sitemap_urls(spark, sf_dir):
+    """Parts as pages in the sitemaps of 40 origins. The announced one names itself, a compressed one and ten others, of
+    which the last three are beyond the limit of children; the first of them names one more, the second five, of which
+    two are within the limit of reads. /sitemap.xml is not stored and counts as read."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    origin = F.concat(F.lit("https://c"), k % 40)
+    p = p.select(k.alias("k"), origin.alias("origin"), (F.floor(k / 40) % 10).alias("m"), (F.floor(k / 400) % 5).alias("d"))
+    name = F.when(F.col("m") == 0, "deep").when(F.col("m") == 1, F.concat(F.lit("d"), "d")).otherwise(F.concat(F.lit("m"), "m"))
+    page = F.concat(F.lit("<loc>"), "origin", F.when(F.col("k") % 3 == 0, "/other/").otherwise("/geodesy/"), "k", F.lit("</loc>"))
+    maps = p.groupBy("origin", name.alias("name")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_list(page)), ""), F.lit("</urlset>")).alias("body"))
+    origins = p.select("origin").distinct()
+    index = lambda name, *of: origins.select("origin", F.lit(name).alias("name"), F.concat(F.lit("<sitemapindex>"), *[x for n in of for x in (F.lit("<loc>"), "origin", F.lit(f"/{n}</loc>"))], F.lit("</sitemapindex>")).alias("body"))
+    bodies = maps.unionByName(index("index", "index.xml", "x.xml.gz", *[f"m{i}.xml" for i in range(10)])).unionByName(index("m0", "deep.xml")).unionByName(index("m1", *[f"d{i}.xml" for i in range(5)]))
+    robots = origins.select("origin", F.concat(F.lit("Sitemap: "), "origin", F.lit("/index.xml\n")).alias("body"))
+    found = D.sitemap_urls(origins, B.sitemaps_from_robots(robots), bodies.select(F.concat("origin", F.lit("/"), "name", F.lit(".xml")).alias("url"), "body"))
+    return found.select("origin", "loc", F.shiftright("item_ord", 32).cast("int").alias("place"))
+
+
 @register(f"""SELECT doc_id, title, 'https://d/' || doc_id AS link, CASE lang WHEN 'en' THEN summary || ' ' || source WHEN 'de' THEN source || '. ' || summary WHEN 'fr' THEN source ELSE source || '. ' || summary END AS summary,
     CASE lang WHEN 'en' THEN source || ', ' || lang ELSE source END AS location, CASE WHEN lang = 'es' THEN doc_id % 2 = 0 END AS open_posting FROM ({_ITEMS_SQL}) WHERE lang IN ('en', 'de', 'fr', 'es')""")
 def adapt_discovered(spark, sf_dir):

@@ -308,6 +308,7 @@ def items_from_listing(df: DataFrame, profile: ListingProfile, now: datetime, bo
 
 # ------------------------------------------------------------------ sitemaps
 
+# Fixed value: words by which pages of the topic are told from their URL.
 TOPIC_URL = r"(?i)(geomatic|geodes|geoinform|geospatial|remote[-_ ]?sensing|photogramm|earth[-_ ]?observ|[-_/]gis[-_/.]|(?<![a-z])lidar|cartograph|geograph|geoscien|surveying|spatial[-_ ]?(data|analysis|science))"
 
 

@@ -204,6 +204,17 @@ def test_a_round_deals_out_only_its_frontier(spark):
     assert not spark.catalog.tableExists(edges.name)
 
 
+def test_sitemaps_that_may_not_be_read(spark):
+    origins = spark.createDataFrame([("https://a",), ("https://b",), ("https://c",)], "origin string")
+    announced = spark.createDataFrame([("https://a", "https://a/no/1.xml", 0), ("https://a", "https://a/1.xml", 1), ("https://a", "https://a/1.xml", 2), ("https://z", "https://a/1.xml", 0)], "origin string, sitemap string, item_ord int")
+    rules = robots_rules(spark.createDataFrame([("https://a", "User-agent: *\nDisallow: /no/")], "origin string, body string"))
+    page = lambda n: f"<urlset><loc>https://a/geodesy/{n}</loc><loc>https://a/x</loc></urlset>"
+    bodies = spark.createDataFrame([("https://a/no/1.xml", page(0)), ("https://a/1.xml", page(1)), ("https://a/sitemap.xml", "<sitemapindex><loc>https://a/1.xml</loc><loc>https://a/2.xml</loc><loc>https://a/no/2.xml</loc></sitemapindex>"), ("https://a/2.xml", page(2)), ("https://a/no/2.xml", page(3)), ("https://b/sitemap.xml", None)], "url string, body string")
+    got = D.sitemap_urls(origins, announced, bodies, rules, reads=3).collect()
+    assert {(r["origin"], r["loc"], r["item_ord"] >> 32) for r in got} == {("https://a", "https://a/geodesy/1", 1), ("https://a", "https://a/geodesy/2", 3)}
+    assert D.sitemap_urls(origins.limit(0), announced, bodies).count() == 0
+
+
 def test_links_and_structured_data(spark):
     html = '<a href="/a">A link of words</a><a href="/a">A second link text</a><a href="x y">short</a><a href="b?c=1#d">Another good link</a>'
     ld = '<script type="application/ld+json">[{"@graph":[{"@type":"Course","name":"C &amp; D","url":"c"}]},{"@type":"Event","name":"no link"}]</script><script type="application/ld+json">{bad</script>'
