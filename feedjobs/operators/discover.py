@@ -82,13 +82,15 @@ def skip_hosts(df: DataFrame, hosts: Sequence[str], mode: str, url: str = "url")
 # ------------------------------------------------------------------ programmes
 
 
-def programme_pages(pages: DataFrame, cfg: FeedConfig, url: str = "url", html: str = "html") -> DataFrame:
-    """pages that describe a degree programme of the field, with title, summary and level in place of html."""
+def programme_pages(pages: DataFrame, cfg: FeedConfig, url: str = "url", html: str = "html", keep_html: bool = False) -> DataFrame:
+    """pages that describe a degree programme of the field, with title, summary and level in place of html (beside it
+    with keep_html, for what is to be read from these pages only)."""
     h = F.coalesce(html, F.lit(""))
     h1 = clean_page(first_capture(h, r"(?is)<h1[^>]*>(.*?)</h1>"))
     og = clean_page(first_capture(h, r"(?i)<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']+)"))
     ttl = clean_page(first_capture(h, r"(?is)<title[^>]*>(.*?)</title>"))
-    df = pages.withColumns({"_h1": h1, "_og": og, "_ttl": ttl, "summary": F.left(clean_page(first_capture(h, r"(?i)<meta[^>]+name=[\"']description[\"'][^>]+content=[\"']([^\"']+)")), F.lit(220))}).drop(html)
+    df = pages.withColumns({"_h1": h1, "_og": og, "_ttl": ttl, "summary": F.left(clean_page(first_capture(h, r"(?i)<meta[^>]+name=[\"']description[\"'][^>]+content=[\"']([^\"']+)")), F.lit(220))})
+    df = df if keep_html else df.drop(html)
     chosen = F.when(F.char_length("_h1").between(8, 140), F.col("_h1")).otherwise(F.coalesce(F.nullif("_og", F.lit("")), "_ttl"))
     site = r"\s*[|–—-]\s*[^|–—-]{0,60}$"
     tail = F.regexp_extract(chosen, f"({site})", 1)

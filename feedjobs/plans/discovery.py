@@ -29,6 +29,7 @@ from ..operators.discover import (
 )
 from ..operators.keys import first_per_key, top_n_per_site
 from ..sources.bodies import TOPIC_URL, anchors
+from ..storage import stored
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -54,9 +55,10 @@ def discover_programmes(pages: DataFrame, links: DataFrame, sites: DataFrame, no
     chosen = select_pages(pages, links, site_seeds(sites, sitemap_urls, crawl), Selection(crawl, programme_priority, SKIP_PATH))
     read = chosen.join(pages.select("url", "html"), "url")
     aux = read.where(F.col("url").rlike(TOPIC_URL)).select("site", "url", deadline_column(F.col("html"), now).alias("deadline"), F.struct("prio", "depth", "url").alias("ord"))
-    found = programme_pages(read.withColumn("deadline", deadline_column(F.col("html"), now)), cfg)
     hosts = sites.select("site", host(F.col("home")).alias("site_host"), "country")
-    found = follow_apply_links(found.join(hosts, "site"), links, pages, now)
+    found = programme_pages(read, cfg, keep_html=True).withColumn("deadline", deadline_column(F.col("html"), now)).drop("html")
+    found = stored(found.join(hosts, "site"), "programmes")  # the steps below read it several times
+    found = stored(follow_apply_links(found, links, pages, now), "applied")
     found = first_per_key(found.withColumn("_key", F.lower("title")), ["site", "_key"], ["prio", "depth", "url"]).drop("_key")
     found = inherit_deadline(found, aux)
     best = top_n_per_site(found, "site", crawl.max_items, [F.col("deadline").isNull(), "prio", "depth", "url"])

@@ -771,7 +771,16 @@ def clean_html_query(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(clean_html(F.col("text")).alias("cleaned"), "doc_id")
 
 
-@register()
+_WEEK = f"({NOW_SQL} - INTERVAL 7 DAYS)"
+
+
+@register(f"""WITH f AS (SELECT doc_id, substr(sha1(link), 1, 16) AS id, title, {_KIND_SQL} AS kind, source FROM ({_ITEMS_SQL})
+        WHERE len({_matched('t')}) > 0 AND NOT regexp_matches(t, '{_has(CFG.exclude)}') AND {_KIND_SQL} <> 'paper' QUALIFY row_number() OVER (PARTITION BY link ORDER BY doc_id) = 1),
+    p AS (SELECT doc_id, id, title, kind, source FROM (SELECT * FROM ({_CLASSIFIED_SQL}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_id) = 1) WHERE doc_id % 3 = 0),
+    al AS (SELECT f.*, CASE WHEN p.id IS NULL THEN {NOW_SQL} ELSE {_WEEK} END AS first_seen, {NOW_SQL} AS last_seen, false AS carried FROM f LEFT JOIN p USING (id)
+        UNION ALL SELECT p.*, {_WEEK}, {_WEEK}, true FROM p WHERE id NOT IN (SELECT id FROM f))
+    SELECT id, title, kind, source, epoch(first_seen)::BIGINT AS first_seen, epoch(last_seen)::BIGINT AS last_seen, NULL::BIGINT AS deadline, carried FROM al
+    QUALIFY kind NOT IN ('job', 'event', 'course') OR row_number() OVER (PARTITION BY kind, {_NORM_SQL} ORDER BY first_seen DESC, carried, doc_id, id) = 1""")
 def refresh_feed(spark, sf_dir):
     """The whole job: documents as raw items, a feed before made of every third of them, look-ups on pages."""
     raw = document_items(spark, sf_dir).withColumns({"date": F.lit(""), "deadline": F.lit(""), "source_ord": F.lit(0)})
@@ -784,16 +793,49 @@ def refresh_feed(spark, sf_dir):
     return done.feed.select("id", "title", "kind", "source", seconds("first_seen"), seconds("last_seen"), seconds("deadline"), "carried")
 
 
-@register()
-def discover_programmes(spark, sf_dir):
-    """The programme job over the stored pages; the topic is a word of their language."""
-    pages = table(spark, sf_dir, "pages").select("url", "html")
-    sites = pages.select(host(F.col("url")).alias("site"), F.col("url").alias("home"), F.lit("XX").alias("country"))
-    sites = first_per_key(sites, ["site"], ["home"])
-    return discover_jobs.discover_programmes(pages, discover_jobs.page_links(pages), sites, NOW, CFG)
+_PROGRAMMES_SQL = """WITH p AS (SELECT p_partkey AS k, p_partkey % 30 AS c, p_name, p_type, 'https://u' || (p_partkey % 30) || '.edu/study/geodesy-' || p_partkey AS url,
+        epoch(DATE '2024-06-01' + (p_partkey % 50)::INTEGER)::BIGINT + 86399 AS d FROM part),
+    pages AS (SELECT c, k, url, CASE WHEN k % 4 < 2 THEN 0 ELSE 1 END AS prio FROM p UNION ALL SELECT c, k, url || '/dates', 1 FROM p WHERE k % 8 = 1),
+    chosen AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY c ORDER BY prio, CASE WHEN prio = 1 THEN 1 ELSE 0 END, url) <= 45 - CASE WHEN prio = 1 THEN 1 ELSE 0 END),
+    found AS (SELECT p.*, CASE k % 4 WHEN 0 THEN 'MSc Geomatics ' ELSE 'Bachelor of geodesy ' END || p_name AS title, CASE k % 4 WHEN 0 THEN 'master' ELSE 'bachelor' END AS level,
+        CASE WHEN k % 8 = 0 THEN d WHEN k % 12 = 4 THEN d + 86400 END AS own FROM p JOIN chosen USING (c, k, url) WHERE k % 4 < 2),
+    first AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY c, lower(title) ORDER BY url) = 1),
+    dates AS (SELECT p.c, p.url, p.d - 86400 AS e FROM p JOIN chosen ON chosen.c = p.c AND chosen.url = p.url || '/dates'),
+    dated AS (SELECT first.*, coalesce(own, e) AS deadline FROM first LEFT JOIN dates ON dates.c = first.c AND dates.url = first.url)
+    SELECT 'u' || c || '.edu' AS site, 'XX' AS country, url, title, 'about ' || p_type AS summary, level, deadline FROM dated
+    QUALIFY row_number() OVER (PARTITION BY c ORDER BY deadline IS NULL, url) <= 12"""
 
 
-@register()
+@register(_PROGRAMMES_SQL)
+def discover_programmes(spark, sf_dir):
+    """The programme job over pages built from parts: home pages of 30 universities link to pages of programmes, to pages
+    of other things and to dates below a programme; some programmes state a deadline, some on the page where to apply."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    site = F.concat(F.lit("https://u"), k % 30, F.lit(".edu/"))
+    url = F.concat(site, F.lit("study/geodesy-"), k)
+    day = lambda shift: F.date_format(F.date_add(F.lit("2024-06-01").cast("date"), (k % 50).cast("int") + shift), "d MMMM yyyy")
+    title = F.when(k % 4 == 0, "MSc Geomatics ").when(k % 4 == 1, "Bachelor of geodesy ").otherwise("Cooking with ")
+    own = F.when(k % 8 == 0, F.concat(F.lit("<p>Application deadline: "), day(0), F.lit("</p>"))).otherwise("")
+    html = F.concat(F.lit("<title>x</title><meta name='description' content='about "), "p_type", F.lit("'><h1>"), title, "p_name", F.lit("</h1>"), own, F.lit("<a href='/apply/"), k, F.lit("'>How to apply</a>"))
+    apply_ = F.concat(F.lit("<p>Closing date: "), day(1), F.lit("</p>"))
+    dates = F.concat(F.lit("<p>Deadline: "), day(-1), F.lit("</p>"))
+    pages = p.select(url.alias("url"), html.alias("html")).unionByName(p.where(k % 12 == 4).select(F.concat(site, F.lit("apply/"), k).alias("url"), apply_.alias("html"))).unionByName(p.where(k % 8 == 1).select(F.concat(url, F.lit("/dates")).alias("url"), dates.alias("html")))
+    link = lambda tail, text: F.concat(F.lit('<a href="/study/geodesy-'), k, F.lit(tail), F.lit('">'), text, F.lit("</a>"))
+    named = link("", F.when(k % 4 < 2, "Master and Bachelor").otherwise("Cooking"))
+    homes = p.select(site.alias("url"), F.concat(named, F.when(k % 8 == 1, link("/dates", F.lit("Dates"))).otherwise("")).alias("a")).groupBy("url").agg(F.array_join(F.sort_array(F.collect_list("a")), " ").alias("html"))
+    sites = homes.select(host(F.col("url")).alias("site"), F.col("url").alias("home"), F.lit("XX").alias("country"))
+    pages = stored(pages.unionByName(homes), "programme-pages")
+    found = discover_jobs.discover_programmes(pages, discover_jobs.page_links(pages), sites, NOW)
+    return found.select("site", "country", "url", "title", "summary", "level", seconds("deadline"))
+
+
+@register("""WITH p AS (SELECT p_partkey AS k, p_name, p_partkey % 40 AS c, 'https://h' || (p_partkey % 40) || '.org/events/' || p_partkey AS url, epoch(DATE '2027-03-01' + (p_partkey % 28)::INTEGER)::BIGINT AS starts FROM part),
+    linked AS (SELECT c, 'Geodesy workshop no ' || k AS title, url, starts, 0 AS depth, '' AS page, row_number() OVER (PARTITION BY c ORDER BY k::VARCHAR) AS pos FROM p),
+    own AS (SELECT c, 'Geodesy workshop ' || p_name || ' 2027' AS title, url, starts, 1 AS depth, url AS page, -1 AS pos FROM p QUALIFY row_number() OVER (PARTITION BY c ORDER BY url) <= 11),
+    e AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS key FROM (SELECT * FROM linked UNION ALL SELECT * FROM own)),
+    f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY c, key ORDER BY depth, page, pos) = 1)
+    SELECT 'h' || c || '.org' AS host, title, url, starts, starts + 86399 AS ends, NULL::BIGINT AS deadline FROM f QUALIFY row_number() OVER (PARTITION BY c ORDER BY depth, page, pos, key) <= 15""")
 def discover_events(spark, sf_dir):
     """The event job over pages built from parts: hubs link to pages of events."""
     p = table(spark, sf_dir, "part")
@@ -804,4 +846,5 @@ def discover_events(spark, sf_dir):
     homes = p.select(site.alias("url"), F.concat(F.lit('<a href="/events/'), k, F.lit('">Geodesy workshop no '), k, F.lit("</a>")).alias("a")).groupBy("url").agg(F.array_join(F.sort_array(F.collect_list("a")), " ").alias("html"))
     pages = pages.unionByName(homes)
     hosts = homes.select(host(F.col("url")).alias("host"), "url", F.lit(True).alias("on_topic"))
-    return discover_jobs.discover_events(pages, discover_jobs.page_links(pages), hosts, datetime(2026, 12, 1, tzinfo=UTC))
+    found = discover_jobs.discover_events(pages, discover_jobs.page_links(pages), hosts, datetime(2026, 12, 1, tzinfo=UTC))
+    return found.select("host", "title", "url", seconds("starts"), seconds("ends"), seconds("deadline"))
