@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import FeedConfig
 from ..functions.dates import deadline_column
 from ..functions.text import has_any, matched_terms, page_text
+from ..storage import stored
 from .keys import take_budget
 
 LOOKED_UP_KINDS = ("job", "course", "event")
@@ -36,7 +37,8 @@ def verify_adverts(todo: DataFrame, pages: DataFrame, now: datetime, cfg: FeedCo
     body = pages.select(F.col("url").alias("link"), F.col("html").alias("_html"))
     df = todo.join(body, "link").withColumn("_text", page_text(F.col("_html"))).drop("_html")  # only pages of these items are cleaned
     start = F.greatest(F.lit(1), F.expr("instr(_text, title)"))
-    df = df.withColumn("_found", matched_terms(F.substring("_text", start, F.lit(cfg.verify_chars)), cfg.strong_terms))
+    df = df.withColumn("_found", matched_terms(F.substring("_text", start, F.lit(cfg.verify_chars)), cfg.strong_terms)).drop("_text")
+    df = stored(df, "verified")  # read for what is kept and for the verdicts
     terms = F.array_join("_found", ", ")
     verdicts = df.select("link", F.lit(cfg.verdict_version).alias("v"), (F.size("_found") > 0).alias("ok"), terms.alias("terms"), F.lit(now).cast("timestamp").alias("at")).dropDuplicates(["link"])
     return _with_terms(df.where(F.size("_found") > 0), terms).select(*todo.columns), verdicts

@@ -25,7 +25,7 @@ from ..operators.enrich import lookup_candidates, lookup_deadlines
 from ..operators.merge import DEDUPED_KINDS, dedupe_cross_source, feed_filters, feed_order, first_per_id, merge_feed, retain, sort_feed
 from ..plans.feed import read_items
 from ..sources.store import FeedStore
-from ..storage import stored
+from ..storage import discard, stored
 
 STATUS = "source_id string, state string, consecutive_failures int"
 
@@ -62,6 +62,7 @@ def merge_batch(raw: DataFrame, store: FeedStore, version: int, sources: DataFra
     unseen = fresh.withColumns({"first_seen": at, "last_seen": at, "deadline_checked": F.lit(None).cast("timestamp"), "call_closed": F.lit(None).cast("boolean")})
     own = _known(store, base, cfg, sources, unseen, _places(store, fresh))
     merged = stored(merge_feed(fresh, own, now, cfg.recheck_days).withColumn("carried", F.lit(False)), "merged")
+    scratch = [got.fresh, merged]
     columns = [c for c in merged.columns if c != "carried"]
     others = _known(store, base, cfg, sources, unseen).join(merged.select("id"), "id", "left_anti").withColumn("carried", F.lit(True))
     if pages is not None:
@@ -70,6 +71,7 @@ def merge_batch(raw: DataFrame, store: FeedStore, version: int, sources: DataFra
         due = stored(lookup_candidates(every, now, cfg, feed_order(every)).select("id"), "due")
         asked = merged.unionByName(others.join(F.broadcast(due), "id", "left_semi").select(*merged.columns))
         merged = stored(lookup_deadlines(asked, pages, now, cfg, feed_order(asked)), "looked-up")
+        scratch += [due, merged]
     changed = _live(merged, now, cfg)
     key = ["kind", "_title"]
     titles = lambda df: df.where(F.col("kind").isin(*DEDUPED_KINDS)).withColumn("_title", norm_title(F.col("title")))
@@ -82,6 +84,7 @@ def merge_batch(raw: DataFrame, store: FeedStore, version: int, sources: DataFra
     rows = best.join(touched, "id", "left_semi").select(*columns).unionByName(stay.select(*columns))
     tables = {"status": got.status, **({"verdicts": got.verdicts} if got.verdicts is not None else {})}
     store.commit(version, rows, now, buckets, base, tables)
+    discard(*scratch, rivals, best, touched)
 
 
 def stream_feed(raw: DataFrame, sources: DataFrame, path: str, checkpoint: str, cfg: FeedConfig | None = None, pages: DataFrame | None = None, verdicts: DataFrame | None = None, trigger: dict | None = None, buckets: int = 64) -> StreamingQuery:

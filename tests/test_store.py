@@ -1,5 +1,6 @@
 """The stored feed: versions that are whole or not there, buckets, replays, what is removed."""
 
+import os
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from feedjobs.config import FeedConfig
 from feedjobs.sources.snapshots import read_feed, write_feed
 from feedjobs.sources.store import FeedStore
+from feedjobs.storage import shared_dir
 from feedjobs.streaming.feed import current_feed, merge_batch
 
 NOW = datetime(2026, 10, 29, tzinfo=UTC)
@@ -65,7 +67,10 @@ def test_a_repeated_batch_writes_the_same_version(spark, tmp_path):
     late = batch(spark, [("s", 0, 0, "GNSS engineer (wanted) in town", "https://s/9", ""), ("s", 0, 1, "GIS Engineer", "https://s/4", ""), ("s", 0, 2, "Cooking", "https://s/5", ""), ("s", 0, 3, "InSAR engineer wanted in town", "https://s/2", "anew")])
     pages = spark.createDataFrame([("https://s/1", "<p>Application deadline: 15 January 2027</p>"), ("https://s/4", "<p>Closing date: 1 February 2027</p>")], "url string, html string")
     verdicts = spark.createDataFrame([("https://b/5", 2, True, "GNSS", NOW)], "link string, v int, ok boolean, terms string, at timestamp")
+    scratch = lambda: {n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n.startswith(("fresh-", "merged-", "due-", "looked-up-", "rivals-", "best-", "touched-"))}
+    before = scratch()
     merge_batch(first, store, 0, sources, NOW, cfg, pages, verdicts)
+    assert all(n.startswith(("due-", "rivals-", "touched-")) for n in scratch() - before)  # but for empty tables a batch leaves none
     later = NOW + timedelta(days=5)
     seen = []
     for _ in range(2):  # the second time as after a failure
