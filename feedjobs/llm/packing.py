@@ -8,8 +8,10 @@ the same packing), and a group wastes at most part of a sequence more than one p
 Packing a group: best fit in a random order, then swap-based local search over the bins that are not full. The
 least full bin gives its pieces away: a piece moves to a bin with room, or takes the place of one or two shorter
 pieces there, whichever raises the sum of the squared fills most. All open bins are looked at in each step. A bin
-without a step waits until another bin is emptied. The search ends within one bin of what the sum of the lengths
-allows, when no bin has a step left, or after STEPS steps for each piece of the group. Groups are drawn by a number of the row, so equal rows spread.
+without a step waits until another bin is emptied. The search ends at the bound that the sum of the lengths sets, or
+when no bin has a step left; in the second case it runs once more from best fit of the longest first, and the better
+of both counts. Every step raises the sum of squares, so no limit on steps is needed. Groups are drawn by a number of
+the row, so equal rows spread.
 
 Defined results: a null text is empty and yields the closing id alone; equal rows are packed as documents of
 their own; an empty table gives an empty result; other columns pass through `tokenise`.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, sliced
 
-LENGTH, GROUP, STEPS = 2048, 5_000, 2
+LENGTH, GROUP = 2048, 5_000
 TOKENIZER = "byte_bpe_50k"
 #: Words that an encoder remembers, and their longest length.
 _CACHE, _CACHED_CHARS = 200_000, 64
@@ -137,7 +139,7 @@ def _two_of(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 class LocalSearch:
     """Bins and the steps between those that are not full. Every step raises the sum of the squared fills, so the
-    search ends; it stops early once no packing can have fewer bins."""
+    search ends; it stops once no packing can have fewer bins."""
 
     def __init__(self, bins: list[list[int]], lengths: list[int], room: int):
         self.room, self.length = room, np.asarray(lengths, np.int64)
@@ -234,16 +236,16 @@ class LocalSearch:
         if self.fill[dst] == self.room or not self.bins[src]:
             self._refresh()
 
-    def run(self, goal: int = 1) -> list[list[int]]:
+    def run(self) -> list[list[int]]:
         """The least full bin gives its pieces away until it is empty; one without a step waits until another is emptied."""
-        used, stuck, left = int((self.fill > 0).sum()), np.zeros(len(self.bins), bool), STEPS * len(self.length)
-        while used > self.least + goal and left > 0:
+        used, stuck = int((self.fill > 0).sum()), np.zeros(len(self.bins), bool)
+        while used > self.least:
             waiting = self.open[~stuck[self.open]]
             if not len(waiting):
                 break
             src = int(waiting[self.fill[waiting].argmin()])
-            while self.bins[src] and left > 0 and self.step(src):
-                left -= 1
+            while self.bins[src] and self.step(src):
+                pass
             stuck[src] = True
             if not self.bins[src]:
                 used -= 1
@@ -252,7 +254,13 @@ class LocalSearch:
 
 
 def pack_lengths(lengths: list[int], room: int = LENGTH) -> list[list[int]]:
-    return LocalSearch(best_fit(lengths, room), lengths, room).run()
+    """Best fit, then the search; where that ends above the bound, once more from best fit of the longest first."""
+    bins = LocalSearch(best_fit(lengths, room), lengths, room).run()
+    if len(bins) > -(-sum(lengths) // room):
+        order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+        start = [[order[k] for k in b] for b in best_fit([lengths[i] for i in order], room)]
+        bins = min(bins, LocalSearch(start, lengths, room).run(), key=len)
+    return bins
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, label: str = "pieces") -> DataFrame:

@@ -4,7 +4,8 @@ Both models are variable-order Markov models over the bytes of a URL (what follo
 of 0 to ORDER bytes, counts of the next byte, interpolated by Witten-Bell smoothing from the longest
 context that was seen down to a uniform distribution. One model is counted over all URLs that the rules
 accept, one over all that they reject. A URL that no rule decides gets the mean log-likelihood difference
-of its bytes; the threshold is calibrated on a tenth of the ruled URLs that the counts leave out.
+of its bytes; the threshold is calibrated on a tenth of the ruled URLs that the counts leave out: the first of
+FOLDS folds that holds both verdicts. Where no fold does, all ruled URLs are counted and calibrated on.
 
 Counts are kept for every context and every byte that the ruled URLs hold, as a table with exact keys that grows
 with the corpus; nothing of it goes to the driver. The log-likelihood of a byte depends only on its window (the
@@ -187,16 +188,24 @@ def calibrate(scored: DataFrame, max_lost: float = MAX_LOST) -> float:
     return float((int(gain.argmax()) - _BINS // 2) * _STEP)
 
 
+def _held_out(ruled: DataFrame) -> int | None:
+    """The first fold that holds URLs of both verdicts and leaves some of both to the counts."""
+    counts = ruled.groupBy("fold").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")).collect()  # FOLDS rows
+    every = [sum(c[k] for c in counts) for k in ("a", "r")]
+    return min((c["fold"] for c in counts if 0 < c["a"] < every[0] and 0 < c["r"] < every[1]), default=None)
+
+
 def judge(pages: DataFrame, url: str = "url", rules=RULES, split: int = SPLIT) -> DataFrame:
     """pages with host, path, rule, score and verdict. Columns of pages that have one of these names are replaced."""
     df = with_rules(pages, url, rules)
     fold = F.pmod(F.xxhash64("body"), F.lit(FOLDS))
     ruled = df.where("rule IS NOT NULL").select((F.col("ruled") == "allow").alias("accepted"), "body", fold.alias("fold"))
-    model = train(ruled.where("fold != 0"), split)
+    held = _held_out(ruled)
+    model = train(ruled.where(F.col("fold") != held) if held is not None else ruled, split)
     if not model.knows_both():
         return df.withColumns({"score": F.lit(0.0), "verdict": F.coalesce("ruled", F.lit("allow"))}).drop("body", "ruled")
     scores = model.scores(df.select("body"))
-    edge = calibrate(with_scores(ruled.where("fold = 0"), scores))
+    edge = calibrate(with_scores(ruled.where(F.col("fold") == held) if held is not None else ruled, scores))
     said = F.when((F.col("body") == "") | (F.col("score") >= edge), "allow").otherwise("block")
     return with_scores(df, scores).withColumn("verdict", F.coalesce("ruled", said)).drop("body", "ruled")
 

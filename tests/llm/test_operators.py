@@ -423,11 +423,11 @@ def test_local_search_saves_bins():
     r = random.Random(8)
     for _ in range(20):
         lengths = [r.randint(1, 100) for _ in range(r.randint(1, 60))]
-        bins = packing.LocalSearch([[i] for i in range(len(lengths))], lengths, 100).run(goal=0)
+        bins = packing.LocalSearch([[i] for i in range(len(lengths))], lengths, 100).run()
         assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
         assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
         assert len(bins) <= len(packing.best_fit(lengths, 100)) + 1
-    assert len(packing.LocalSearch([[0, 1], [2, 3], [4]], [60, 30, 50, 45, 10], 100).run(goal=0)) == 2
+    assert len(packing.LocalSearch([[0, 1], [2, 3], [4]], [60, 30, 50, 45, 10], 100).run()) == 2
     # 15 can only come in for the pair 5 and 7, so two for one comes first
     search = packing.LocalSearch([[0, 1, 2], [3]], [85, 5, 7, 15], 100)
     assert search.step(1) and search.fill.tolist() == [100, 12]
@@ -523,6 +523,31 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in urlfilter.judge(df.where("page_id < 3")).collect()} == {"allow"}
 
 
+def test_url_threshold_equals_brute_force(spark):
+    r = random.Random(10)
+    rows = [(r.random() < 0.7, round(r.gauss(0, 1), 3)) for _ in range(400)]
+    rows = [(a, s + (0.8 if a else -0.8)) for a, s in rows]
+    edge = urlfilter.calibrate(spark.createDataFrame(rows, "accepted boolean, score double"), max_lost=0.1)
+    lost = lambda e: sum(a and s < e for a, s in rows) / sum(a for a, _ in rows)
+    gain = lambda e: sum(not a and s < e for a, s in rows) / sum(not a for a, _ in rows) - lost(e)
+    tried = [e for e in (k * 0.005 for k in range(-1000, 1000)) if lost(e) <= 0.1]
+    assert lost(edge) <= 0.1 and abs(gain(edge) - max(map(gain, tried))) < 1e-9
+
+
+def test_url_verdicts_with_few_rejected(spark):
+    """One rejected URL, two, or many: scores tell them apart, and the held-out fold has both verdicts if any fold has."""
+    good = [f"https://site{i}.com/docs/page{i}" for i in range(40)]
+    bad = [f"https://shop{i}.net/es/buy-cheap{i}" for i in range(40)]
+    asked = ["https://spam.org/es/buy-cheap7", "https://docs.org/docs/page7"]
+    for n in (1, 2, 40):
+        df = spark.createDataFrame(list(enumerate([*good, *bad[:n], *asked])), "page_id long, url string")
+        got = {r["url"]: r for r in urlfilter.judge(df).collect()}
+        assert n < 40 or [got[u]["verdict"] for u in asked] == ["block", "allow"]
+        assert got[asked[0]]["score"] < got[asked[1]]["score"]
+    ruled = spark.createDataFrame([(True, 0), (False, 1), (True, 2), (False, 2), (True, 3)], "accepted boolean, fold int")
+    assert urlfilter._held_out(ruled) == 2 and urlfilter._held_out(ruled.where("fold < 2")) is None
+
+
 def test_url_model_equals_plain_counts(spark):
     r = random.Random(10)
     make = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 15)))
