@@ -175,7 +175,8 @@ def with_scores(df: DataFrame, scores: DataFrame, body: str = "body") -> DataFra
 
 def calibrate(scored: DataFrame, max_lost: float = MAX_LOST) -> float:
     """The score below which a URL is blocked: the one with the best balanced accuracy among those that block
-    at most max_lost of the accepted. Read from a histogram with a fixed number of bins."""
+    at most max_lost of the accepted; of a run of equally good ones the middle. Read from a histogram with a fixed
+    number of bins."""
     bin_ = F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), F.floor(F.col("score") / _STEP + _BINS // 2)))
     rows = scored.groupBy("accepted", bin_.cast("int").alias("bin")).count().collect()
     counts = np.zeros((2, _BINS + 1))
@@ -185,7 +186,9 @@ def calibrate(scored: DataFrame, max_lost: float = MAX_LOST) -> float:
         return -np.inf
     below = counts.cumsum(axis=1) / counts.sum(axis=1, keepdims=True)  # share with a score under each edge
     gain = np.where(below[1] <= max_lost, below[0] - below[1], -1)
-    return float((int(gain.argmax()) - _BINS // 2) * _STEP)
+    first = int(gain.argmax())
+    run = np.append(gain[first:] < gain[first], True).argmax()  # edges from the first best on that are as good
+    return float((first + int(run - 1) // 2 - _BINS // 2) * _STEP)
 
 
 def _held_out(ruled: DataFrame) -> int | None:

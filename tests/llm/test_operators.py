@@ -535,14 +535,14 @@ def test_url_threshold_equals_brute_force(spark):
 
 
 def test_url_verdicts_with_few_rejected(spark):
-    """One rejected URL, two, or many: scores tell them apart, and the held-out fold has both verdicts if any fold has."""
+    """One rejected URL, two, or many: a fold without a class never lets everything pass."""
     good = [f"https://site{i}.com/docs/page{i}" for i in range(40)]
     bad = [f"https://shop{i}.net/es/buy-cheap{i}" for i in range(40)]
     asked = ["https://spam.org/es/buy-cheap7", "https://docs.org/docs/page7"]
     for n in (1, 2, 40):
         df = spark.createDataFrame(list(enumerate([*good, *bad[:n], *asked])), "page_id long, url string")
         got = {r["url"]: r for r in urlfilter.judge(df).collect()}
-        assert n < 40 or [got[u]["verdict"] for u in asked] == ["block", "allow"]
+        assert [got[u]["verdict"] for u in asked] == ["block", "allow"], n
         assert got[asked[0]]["score"] < got[asked[1]]["score"]
     ruled = spark.createDataFrame([(True, 0), (False, 1), (True, 2), (False, 2), (True, 3)], "accepted boolean, fold int")
     assert urlfilter._held_out(ruled) == 2 and urlfilter._held_out(ruled.where("fold < 2")) is None
