@@ -163,9 +163,9 @@ def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """docs with `text` without repeated lines, and _n_lines, _n_dropped (long)."""
+    """docs with `text` without repeated lines, and _n_lines, _n_dropped (long), in place of columns of these names."""
     spark = docs.sparkSession
-    n_lines = docs.agg(F.sum(F.size(lines_of(F.col(text)))).alias("n")).first()["n"] or 0
+    n_lines = docs.agg(F.sum(F.size(lines_of(F.col(f"`{text}`")))).alias("n")).first()["n"] or 0
     bits, passes = filter_size(n_lines, filter_bits)
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars))
     keyed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), keys.alias("keys"))
@@ -188,12 +188,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     def listed(places: pd.Series) -> pd.Series:
         return pd.Series(in_filter(shared.value, pa.array(places)))
 
-    marked = docs.withColumn("_n_lines", F.size(lines_of(F.col(text))).cast("long")).withColumn("_listed", listed(filter_places(F.col(doc_id), id_bits)))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    plain = marked.where("NOT _listed").withColumn(text, F.coalesce(F.col(text), F.lit(""))).select(*names, "_n_lines", F.lit(0).cast("long").alias("_n_dropped"))
-    cut = marked.where("_listed").join(drops, F.col(doc_id) == F.col("_id"), "left").withColumn("_cut", F.pandas_udf(_without, "text string, dropped long")(F.col(text), F.col("_drop")))
-    cut = cut.withColumns({text: F.col("_cut.text"), "_n_dropped": F.col("_cut.dropped")}).select(*names, "_n_lines", "_n_dropped")
-    return plain.unionByName(cut)
+    # docs may have columns of any name, so its rows travel as one struct
+    row, key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id")
+    marked = docs.select(row, key, F.size(lines_of(F.col(f"`{text}`"))).cast("long").alias("_n_lines"), listed(filter_places(F.col(f"`{doc_id}`"), id_bits)).alias("listed"))
+    body = F.col(f"row.`{text}`")
+    names = lambda new: [new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    plain = marked.where("NOT listed").select(*names(F.coalesce(body, F.lit(""))), "_n_lines", F.lit(0).cast("long").alias("_n_dropped"))
+    cut = marked.where("listed").join(drops, F.col("id") == F.col("_id"), "left").withColumn("cut", F.pandas_udf(_without, "text string, dropped long")(body, F.col("_drop")))
+    return plain.unionByName(cut.select(*names(F.col("cut.text")), "_n_lines", F.col("cut.dropped").alias("_n_dropped")))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,15 @@ def test_only_documents_that_lose_a_line_shuffle(spark):
     assert plan.count("Union") and len(texts) <= 1
 
 
+def test_line_dedup_of_tables_with_columns_of_any_name(spark):
+    rows = [(1, "a line of two documents\nown"), (2, "a line of two documents\nother"), (3, None), (None, "a line of two documents")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("_id", "_drop", "_cut", "_listed", "id", "row", "cut", "_n_lines", "a.b"))])
+    got = linededup.dedup_lines(df)
+    assert got.columns == [c for c in df.columns if c != "_n_lines"] + ["_n_lines", "_n_dropped"]
+    assert {(r["doc_id"], r["text"], r["row"], r["_n_lines"], r["_n_dropped"]) for r in got.collect()} == {(1, rows[0][1], 5, 2, 0), (2, "other", 5, 2, 1), (3, "", 5, 1, 0), (None, rows[3][1], 5, 1, 0)}
+
+
 def test_bloom_filters_lose_nothing():
     h = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
     bits = 1 << 17
