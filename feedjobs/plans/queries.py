@@ -608,24 +608,30 @@ def select_event_pages(spark, sf_dir):
     return D.select_pages(o.select(page(F.col("n")).alias("url")), links, seeds, how)
 
 
-@register("""WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS host FROM pages)
-    SELECT host, arg_min(url, page_id) AS url, true AS on_topic FROM a WHERE host <> 'hub.org' AND NOT (host = 'example.net' OR host LIKE '%.example.net') AND NOT regexp_matches(url, '(?i)\\.(pdf|jpe?g|png|zip|docx?|xlsx?)$|/(login|wp-admin|feed)\\b') GROUP BY host ORDER BY min(page_id), host LIMIT 40""")
+@register("""WITH u AS (SELECT url, 0 AS list, page_id AS ord FROM pages UNION ALL SELECT 'https://www.' || lower(replace(s_name, '#', '-')) || '.org/', 1, s_suppkey FROM supplier),
+    a AS (SELECT url, list, ord, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS host FROM u)
+    SELECT host, arg_min(url, struct_pack(list, ord)) AS url, true AS on_topic FROM a WHERE host <> 'hub.org' AND NOT (host = 'example.net' OR host LIKE '%.example.net') AND NOT regexp_matches(url, '(?i)\\.(pdf|jpe?g|png|zip|docx?|xlsx?)$|/(login|wp-admin|feed)\\b') GROUP BY host ORDER BY min(struct_pack(list, ord)), host LIMIT 160""")
 def seed_hosts(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    p, s = table(spark, sf_dir, "pages"), table(spark, sf_dir, "supplier")
     links = p.select(F.lit("https://hub.org/list").alias("from_url"), F.col("url").alias("href"), F.lit(True).alias("on_topic"), F.lit(0).alias("list_ord"), F.lit(0).alias("seed_ord"), F.col("page_id").alias("link_ord"))
-    extra = p.select("url", F.col("page_id").alias("ord")).limit(0)
-    return D.seed_hosts(links, extra, ("example.net",), 40)
+    extra = s.select(F.concat(F.lit("https://www."), F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))), F.lit(".org/")).alias("url"), F.col("s_suppkey").alias("ord"))
+    return D.seed_hosts(links, extra, ("example.net",))
 
 
 _AROUND = "substr(html, greatest(1, i - 50), i - greatest(1, i - 50) + 30 + 100)"
 _BARE = f"regexp_replace(regexp_replace({_AROUND}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 
 
-@register(f"SELECT page_id, sha256(trim(regexp_replace({_DEC(_BARE)}, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS ctx_hash FROM (SELECT page_id, html, instr(html, '<a href=') AS i FROM pages) WHERE i > 0")
+@register(f"""WITH s AS (SELECT page_id, html, unnest(string_split(html, '<a href=')) AS part, generate_subscripts(string_split(html, '<a href='), 1) AS k FROM pages),
+    l AS (SELECT page_id, html, k, (1 + sum(length(part)) OVER (PARTITION BY page_id ORDER BY k) + 8 * (k - 1))::BIGINT AS i, count(*) OVER (PARTITION BY page_id) AS n FROM s)
+    SELECT page_id, i - 1 AS at, sha256(trim(regexp_replace({_DEC(_BARE)}, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS ctx_hash FROM l WHERE k < n""")
 def link_context(spark, sf_dir):
     p = table(spark, sf_dir, "pages").withColumn("url", F.concat_ws("#", "url", F.col("page_id").cast("string")))
-    links = p.select("page_id", F.col("url").alias("from_url"), (F.instr("html", "<a href=") - 1).alias("index"), F.lit(30).alias("length")).where("index >= 0")
-    return D.link_context(p.select("url", "html"), links, 50, 100).select("page_id", F.sha2("ctx", 256).alias("ctx_hash"))
+    parts = F.slice(F.split("html", "<a href=", -1), 1, F.size(F.split("html", "<a href=", -1)) - 1)  # what stands before each anchor
+    step = lambda acc, x: F.struct((acc["at"] + F.char_length(x) + 8).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.char_length(x))).alias("out"))
+    places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+    links = p.select("page_id", F.col("url").alias("from_url"), F.explode(places).alias("index"), F.lit(30).alias("length"))
+    return D.link_context(p.select("url", "html"), links, 50, 100).select("page_id", F.col("index").cast("long").alias("at"), F.sha2("ctx", 256).alias("ctx_hash"))
 
 
 @register("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'MSc Geomatics ' || p_name WHEN 1 THEN 'PhD in geodesy ' || p_name ELSE 'Bachelor geodesy ' || p_name END AS title,
