@@ -4,6 +4,7 @@ empty tables, extra columns with clashing names."""
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -364,6 +365,19 @@ def test_toxicity_learns_words(spark):
     assert toxicity.with_scores(awkward, None).count() == 4
 
 
+def test_toxicity_query_on_labelled_rows_it_never_saw(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op6_toxicity(spark, sf).toPandas()
+    assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+    assert got["score"].between(0, 1).all() and ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
+    held = got[got["held_out"]].merge(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").dropna().toPandas(), on="doc_id")
+    bad, good = held[held["toxic"] == 1], held[held["toxic"] == 0]
+    assert len(bad) > 20 and len(good) > 100
+    ranks = np.searchsorted(np.sort(good["score"]), bad["score"]) / len(good)
+    assert ranks.mean() > 0.95  # the area under the curve, ties against it
+    assert bad["predicted"].mean() > 0.8 and good["predicted"].mean() < 0.03
+
+
 # ------------------------------------------------------------------ 7 mixing
 
 
