@@ -49,3 +49,20 @@ def test_stream_equals_runs(spark):
     rows = [sorted(map(str, map(tuple, df.collect()))) for df in (got, want)]
     assert rows[0] == rows[1] and len(rows[0]) > 50
     assert len({r["first_seen"] for r in got.collect()}) > 1 and {r["carried"] for r in got.collect()} == {True, False}
+
+
+def test_stream_rounds_stay_spread(spark, tmp_path):
+    """A round is written by as many tasks as hold it, still makes one batch, and the feed is the same."""
+    from pathlib import Path
+
+    def raw_folders():
+        return set(Path(spark.conf.get("spark.checkpoint.dir")).glob("stream-*/raw"))
+
+    want = sorted(map(str, map(tuple, Q.stream_feed_query(spark, SF).collect())))
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    before = raw_folders()
+    got = sorted(map(str, map(tuple, Q.stream_feed_query(spark, str(tmp_path)).collect())))
+    (raw,) = raw_folders() - before
+    assert len(list(raw.glob("part-*"))) >= 9, "three rounds in one file each are read by one task each"
+    assert sorted(p.name for p in (raw.parent / "checkpoint" / "commits").glob("[0-9]*")) == ["0", "1", "2"]
+    assert got == want
